@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .mixing import op8_source_mixing
 from .packing import op7_vector_packing
+from .secrets import op9_secret_ledger
+from .simhash import op10_simhash_pigeonring
 
 QUERIES = {
     "op7_vector_packing": op7_vector_packing,
     "op8_source_mixing": op8_source_mixing,
+    "op9_secret_ledger": op9_secret_ledger,
+    "op10_simhash_pigeonring": op10_simhash_pigeonring,
 }
 
 SQL: dict[str, str] = {}
