@@ -145,8 +145,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 def digest_columns(found: DataFrame, kinds: tuple[str, ...]) -> list:
     """Counts and digest of the base kinds, derived from the spans."""
     spans = F.filter(F.split("spans", ","), lambda s: F.substring_index(s, ":", 1).isin(*kinds))
-    counts = [F.size(F.filter(spans, lambda s, k=k: F.substring_index(s, ":", 1) == k)).cast("long").alias(f"n_{k}") for k in kinds]
-    return [*counts, F.sha2(F.array_join(spans, ","), 256).alias("base_sha256")]
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: F.substring_index(s, ":", 1) == F.lit(kind))).cast("long").alias(f"n_{kind}")
+
+    return [*map(count, kinds), F.sha2(F.array_join(spans, ","), 256).alias("base_sha256")]
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
