@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, table
-from .wordbpe import WordBpe, default_path
+from .wordbpe import default_path, shared
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 512, 2048
 END_ID = 1
@@ -152,7 +152,7 @@ def pack(
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        bpe, end = WordBpe(path), np.array([end_id], dtype="<u4").tobytes()
+        bpe, end = shared(path), np.array([end_id], dtype="<u4").tobytes()
         rows: list[tuple] = []
 
         def emit(sequence: int, pieces: list[tuple]) -> None:

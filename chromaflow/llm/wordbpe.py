@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: The table is emptied when it holds more words than this: about 30 MB, and the words of one text.
-CACHE_WORDS = 150_000
+#: The table is emptied when it holds more words than this: about 160 MB, and the words of one text.
+CACHE_WORDS = 800_000
 
 
 def default_path() -> str:
@@ -78,3 +79,9 @@ class WordBpe:
                 cache.clear()
             self._fill(list({w for w in words if w not in cache}))
             return b"".join([cache[w] for w in words])
+
+
+@lru_cache(maxsize=2)
+def shared(path: str) -> WordBpe:
+    """One encoder a Python worker: its table serves the tasks that follow."""
+    return WordBpe(path)
