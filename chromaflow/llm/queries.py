@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .digest import op4_quartile_digest
 from .mixing import op8_source_mixing
+from .neardup_vectors import op5_kmeans_neardup
 from .packing import op7_vector_packing
 from .secrets import op9_secret_ledger
 from .simhash import op10_simhash_pigeonring
 
 QUERIES = {
     "op4_quartile_digest": op4_quartile_digest,
+    "op5_kmeans_neardup": op5_kmeans_neardup,
     "op7_vector_packing": op7_vector_packing,
     "op8_source_mixing": op8_source_mixing,
     "op9_secret_ledger": op9_secret_ledger,
