@@ -8,8 +8,10 @@ from .neardup_vectors import op5_kmeans_neardup
 from .packing import op7_vector_packing
 from .secrets import op9_secret_ledger
 from .simhash import op10_simhash_pigeonring
+from .toxicity import op1_string_kernel_svm
 
 QUERIES = {
+    "op1_string_kernel_svm": op1_string_kernel_svm,
     "op4_quartile_digest": op4_quartile_digest,
     "op5_kmeans_neardup": op5_kmeans_neardup,
     "op7_vector_packing": op7_vector_packing,
