@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Durable, map_arrow, table
+from .common import Durable, map_arrow, salted_join, table
 
 RULE_VERSION = "2024.1"
 #: Order of the kinds where two spans start at one place: the base rules, then the further ones.
@@ -115,31 +115,42 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
     return paths.join(some, paths["blob"] == some["found_blob"], "left").select("path", "blob", F.coalesce("spans", F.lit("")).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The same rows and columns, every span of `find_secrets` replaced by `mark`.
-    Null texts stay null."""
+def cut_spans(text: str, spans: str, mark: str) -> str:
+    """The text with every span replaced by the mark; spans that overlap get one."""
+    out, last = [], 0
+    for _, start, end in (s.split(":") for s in spans.split(",")):
+        start, end = int(start), int(end)
+        if start >= last:
+            out += [text[last:start], mark]
+        last = max(last, end)
+    return "".join([*out, text[last:]])
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """The same rows and columns, every span that `scan` finds replaced by
+    `mark` (and `length_col`, where there is one, counted anew).  Null texts stay null.
+    Only the blobs that hold a span meet the texts again."""
+    found = scan(docs, id_col, text_col, **options)
+    spans = Durable(found.where("spans != ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"]))
+    addressed = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    marked = salted_join(addressed, spans.read(), ["__blob"], "left").select(*docs.columns, "__spans")
     names = docs.columns
     at = names.index(text_col)
 
-    def clean(text: str | None) -> str | None:
-        if not text:
-            return text
-        out, last = [], 0
-        for start, _, end in find_secrets(text):
-            if end <= last:
-                continue
-            if start >= last:
-                out += [text[last:start], mark]
-            last = end
-        return "".join([*out, text[last:]]) if out else text
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = list(b.columns)
-            columns[at] = pa.array([clean(t) for t in b.column(at).to_pylist()], b.schema.field(at).type)
+            held = columns.pop().to_pylist()
+            if any(held):
+                texts = [cut_spans(t, s, mark) if s else t for t, s in zip(columns[at].to_pylist(), held, strict=True)]
+                columns[at] = pa.array(texts, b.schema.field(at).type)
+                if length_col in names:
+                    k = names.index(length_col)
+                    sizes = [len(t) if s else n for t, s, n in zip(texts, held, columns[k].to_pylist(), strict=True)]
+                    columns[k] = pa.array(sizes, b.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(marked, run, docs.schema)
 
 
 def digest_columns(found: DataFrame, kinds: tuple[str, ...]) -> list:

@@ -190,6 +190,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes(fps.read(), options.get("max_distance", MAX_DISTANCE))
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows with the least id of their class, columns unchanged; rows without an id stay.
+    Where an id repeats, one of its rows stays."""
+    found = Durable(near_duplicates(docs, id_col, text_col, **options))
+    named = found.read().where("doc_id is not null")
+    repeats = named.count() > named.select("doc_id").distinct().count()
+    kept = named.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__kept")
+    stays = docs.join(kept.hint("shuffle_hash"), docs[id_col].cast("long") == kept["__kept"], "left_semi")
+    if repeats:
+        stays = stays.dropDuplicates([id_col])
+    return stays.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
