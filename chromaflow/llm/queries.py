@@ -6,12 +6,14 @@ from .digest import op4_quartile_digest
 from .mixing import op8_source_mixing
 from .neardup_vectors import op5_kmeans_neardup
 from .packing import op7_vector_packing
+from .pii import op3_bootstrapped_pii
 from .secrets import op9_secret_ledger
 from .simhash import op10_simhash_pigeonring
 from .toxicity import op1_string_kernel_svm
 
 QUERIES = {
     "op1_string_kernel_svm": op1_string_kernel_svm,
+    "op3_bootstrapped_pii": op3_bootstrapped_pii,
     "op4_quartile_digest": op4_quartile_digest,
     "op5_kmeans_neardup": op5_kmeans_neardup,
     "op7_vector_packing": op7_vector_packing,
