@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .digest import op4_quartile_digest
+from .language_model import op2_bloom_language_model
 from .mixing import op8_source_mixing
 from .neardup_vectors import op5_kmeans_neardup
 from .packing import op7_vector_packing
@@ -15,6 +16,7 @@ from .toxicity import op1_string_kernel_svm
 
 QUERIES = {
     "op1_string_kernel_svm": op1_string_kernel_svm,
+    "op2_bloom_language_model": op2_bloom_language_model,
     "op3_bootstrapped_pii": op3_bootstrapped_pii,
     "op4_quartile_digest": op4_quartile_digest,
     "op5_kmeans_neardup": op5_kmeans_neardup,
