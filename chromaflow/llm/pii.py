@@ -38,7 +38,8 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A private-use character that stands for one separator between digits.
 _SEP = ""
 _CARD = rf"(?<![0-9{_SEP}])[0-9](?=(?:{_SEP}?[0-9]){{11}})[0-9{_SEP}]*+"
-_TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
+#: Outer punctuation of words; an opening plus belongs to a number.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "+:")
 
 
 def _digits(m: Column) -> Column:
@@ -110,39 +111,46 @@ def joined(spans: Column) -> Column:
 
 
 def _word(w: Column) -> Column:
-    """A context word: lower case, without outer punctuation but a closing colon; those with digits are one word."""
-    bare = F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}:]+$", "")
-    return F.when(bare.rlike("[0-9]"), F.lit("#")).otherwise(bare)
+    """A context word: lower case, without outer punctuation but a closing colon."""
+    return F.rtrim(F.ltrim(F.lower(w), F.lit(_MARKS + ":")), F.lit(_MARKS))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """`rows(id, h, text, base)` to tokens with a digit or at-sign: id, h, start, end, token, left, right, seed."""
+    """`rows(id, h, text, base)` to tokens with a digit or at-sign: id, h, start, end, token, left, right, seed.
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["p"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        item = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("token"), x["p"].substr(F.greatest(F.length(x["p"]) - 63, F.lit(1)), F.lit(64)).alias("before"), F.substr(x["p"], F.lit(1), F.lit(64)).alias("head"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,end:int,token:string,before:string,head:string>>)").alias("out"))
-    found = F.aggregate(_walk(F.col("text"), _TOKEN), zero, step, lambda acc: acc["out"])
-    # the piece after a token is the `head` of the entry that follows
-    many = rows.where(F.col("text").rlike("[0-9@]")).withColumn("found", found)
-    tokens = many.select("id", "h", "base", "found", F.posexplode("found").alias("at", "t")).where("t.token is not null")
-    after = F.coalesce(F.get("found", F.col("at") + 1)["head"], F.lit(""))
-    # outer punctuation is not part of an identifier
-    lead = F.length(F.regexp_extract("t.token", r"^[^\p{L}\p{N}+]*", 0))
-    core = F.regexp_extract("t.token", r"^[^\p{L}\p{N}+]*(.*?)[^\p{L}\p{N}]*$", 1)
-    flat = tokens.select("id", "h", "base", (F.col("t.start") + lead).alias("start"), core.alias("token"), _word(F.regexp_extract("t.before", r"(\S+)\s*$", 1)).alias("left"), _word(F.regexp_extract(after, r"^\s*(\S+)", 1)).alias("right"))
-    flat = flat.withColumn("end", F.col("start") + F.length("token"))
-    seed = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return flat.withColumn("seed", seed).drop("base")
+    A text is split at single blanks, so the place of a word is the sum of the
+    lengths before it; only texts with such tokens are walked."""
+
+    def step(acc: Column, w: Column) -> Column:
+        item = F.array(F.struct(acc["i"].alias("i"), acc["pos"].alias("pos")))
+        out = F.when(w.rlike("[0-9@]"), F.concat(acc["out"], item)).otherwise(acc["out"])
+        return F.struct((acc["i"] + 1).alias("i"), (acc["pos"] + F.length(w) + 1).alias("pos"), out.alias("out"))
+
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<i:int,pos:int>>)").alias("out"))
+
+    def near(i: Column, by: int) -> Column:
+        """The next word on a side; one empty piece between two blanks is passed over."""
+        one = F.coalesce(F.get("words", i + by), F.lit(""))
+        return F.when(one != "", one).otherwise(F.coalesce(F.get("words", i + 2 * by), F.lit("")))
+
+    def told(t: Column) -> Column:
+        token = F.get("words", t["i"])
+        # outer punctuation is not part of an identifier
+        head = F.length(token) - F.length(F.ltrim(token, F.lit(_MARKS + ":")))
+        core = F.rtrim(F.ltrim(token, F.lit(_MARKS + ":")), F.lit(_MARKS + ":"))
+        start = t["pos"] + head
+        seed = F.exists("base", lambda s: (s["start"] < start + F.length(core)) & (s["end"] > start))
+        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("token"), _word(near(t["i"], -1)).alias("left"), _word(near(t["i"], 1)).alias("right"), seed.alias("seed"))
+
+    many = rows.where(F.col("text").rlike("[0-9@]")).select("id", "h", "base", F.split("text", r"\s", -1).alias("words"))
+    placed = many.withColumn("found", F.aggregate("words", zero, step, lambda acc: acc["out"]))
+    return placed.select("id", "h", F.explode(F.transform("found", told)).alias("t")).select("id", "h", "t.*")
 
 
 def _patterns(tokens: DataFrame) -> DataFrame:
     """Edges of the graph: pattern (side and word), token, seed, n."""
     sides = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word"))))
-    return tokens.select("token", "seed", sides.alias("p")).where("p.word != ''").groupBy("p.side", "p.word", "token").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    return tokens.select("token", "seed", sides.alias("p")).where("p.word != '' and not p.word rlike '[0-9]'").groupBy("p.side", "p.word", "token").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
 
 
 def discover(rows: DataFrame, tokens: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE) -> DataFrame:
@@ -153,7 +161,7 @@ def discover(rows: DataFrame, tokens: DataFrame, rounds: int = ROUNDS, min_suppo
     wanted = Durable(known.read().select("word").distinct())
     small = wanted.read().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     side = F.broadcast(wanted.read()) if small else wanted.read()
-    words = rows.select(F.explode(F.split("text", r"\s+")).alias("w")).where("w != ''").select(_word(F.col("w")).alias("word")).join(side, "word", "left_semi")
+    words = rows.select(F.explode(F.split("text", r"\s+")).alias("w")).select(_word(F.col("w")).alias("word")).join(side, "word", "left_semi")
     totals = Durable(words.groupBy("word").agg(F.count("*").alias("total")))
     graph = Durable(edges.read().join(known.read(), ["side", "word"], "left_semi").join(totals.read(), "word"))
     score = graph.read().select("token", "seed").distinct().groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("seed"))
