@@ -41,6 +41,8 @@ from .common import Durable, arrow_rows, crc, map_arrow, table
 
 #: Tokens of a block.
 BLOCK_TOKENS = 2_000_000
+#: Tokens that are scored at a time.
+PART_TOKENS = 200_000
 BASE, MIN_COUNT, HASHES, BITS_A_KEY, MAX_FILTER_MB = 1.5, 2, 5, 12, 256
 #: Entries of a shard, about; shards grow in number with the input.
 SHARD_ENTRIES = 1_000_000
@@ -359,23 +361,28 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         for b in batches:
             for packed, raw, counts in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 t, hashes, total = unpack(packed), np.frombuffer(raw, dtype=np.uint64), unpack(counts)["c"].astype(np.float64)
-                sizes, flat = t["sizes"].astype(np.int64), t["flat"].astype(np.int64)
-                starts = np.cumsum(sizes) - sizes
+                sizes, flat = t["sizes"].astype(np.int64), t["flat"]
+                ends = np.cumsum(sizes)
                 one = (total + 1) / below
-                grams, before = bigrams(flat, sizes, hashes)
-                context = total[before]
-                kind = bucket_of(context)
-                seen = np.minimum(value_of(held.levels(grams), held.least), context)
-                p = np.where(context > 0, alpha[kind] * seen / np.maximum(context, 1) + (1 - kappa[kind]) * one[flat], one[flat])
-                columns = [
-                    pa.array(t["ids"], mask=t["null"]),
-                    pa.array(sizes),
-                    pa.array(np.add.reduceat((total > 0)[flat].astype(np.int64), starts)),
-                    pa.array(np.full(len(sizes), train, dtype=np.int64)),
-                    pa.array(np.add.reduceat(np.log10(one)[flat], starts)),
-                    pa.array(np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in OUT.split(", ")])
+                # a part of a block at a time: whole texts, about PART_TOKENS tokens
+                edges = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(PART_TOKENS, int(ends[-1]), PART_TOKENS)) + 1, [len(sizes)]]))
+                for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    own, size = flat[ends[a] - sizes[a] : ends[z - 1]].astype(np.int64), sizes[a:z]
+                    starts = np.cumsum(size) - size
+                    grams, before = bigrams(own, size, hashes)
+                    context, base = total[before], one[own]
+                    kind = bucket_of(context)
+                    seen = np.minimum(value_of(held.levels(grams), held.least), context)
+                    p = np.where(context > 0, alpha[kind] * seen / np.maximum(context, 1) + (1 - kappa[kind]) * base, base)
+                    columns = [
+                        pa.array(t["ids"][a:z], mask=t["null"][a:z]),
+                        pa.array(size),
+                        pa.array(np.add.reduceat((total > 0)[own].astype(np.int64), starts)),
+                        pa.array(np.full(z - a, train, dtype=np.int64)),
+                        pa.array(np.add.reduceat(np.log10(base), starts)),
+                        pa.array(np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in OUT.split(", ")])
 
     return full.read().mapInArrow(score, OUT)
 
