@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Durable, arrow_rows, crc, map_arrow, table
 
 #: Tokens of a block.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 500_000
 #: Tokens that are scored at a time.
 PART_TOKENS = 200_000
 BASE, MIN_COUNT, HASHES, BITS_A_KEY, MAX_FILTER_MB = 1.5, 2, 5, 12, 256
