@@ -65,9 +65,8 @@ class Packer:
             at += take
 
     def _wait(self, item: tuple) -> None:
-        self.demand[len(self.items)] = (item[5], 1, self._loss(item[4], item[5], item[3]))
-        self.items.append(item)
-        if len(self.items) > self.size:
+        self._put_back(item)
+        while len(self.items) > self.size:
             self._fill(int(self.limit[0]))
 
     def _take(self, i: int) -> tuple:
@@ -77,6 +76,8 @@ class Packer:
         return item
 
     def _put_back(self, item: tuple) -> None:
+        if len(self.items) >= len(self.demand):
+            self.demand = np.vstack([self.demand, np.zeros_like(self.demand)])
         self.demand[len(self.items)] = (item[5], 1, self._loss(item[4], item[5], item[3]))
         self.items.append(item)
 
@@ -116,8 +117,6 @@ class Packer:
             back = min(over, length)
             if back < length:
                 chosen.append((key, n, ids, prompt, at, length - back))
-            if len(self.items) >= len(self.demand):
-                self.demand = np.vstack([self.demand, np.zeros_like(self.demand)])
             self._put_back((key, n, ids, prompt, at + length - back, back))
             over -= back
 

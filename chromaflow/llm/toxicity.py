@@ -29,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ P, DECAY = 3, 0.8
 #: Most labelled documents that are learnt from (those with the least hash of their id).
 SAMPLE = 4000
 LANDMARKS, CLEAN_LANDMARKS, HARD_LANDMARKS = 48, 16, 48
+#: Words that may mark out a label by chance alone, among those equally common.
+EXPECTED_BY_CHANCE = 0.02
 #: Chunk scores below this are read as this.
 FLOOR = -1.0
 #: Chunks longer than this are scored in windows of this length, half overlapping.
@@ -282,6 +285,14 @@ class Model:
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
 
 
+def _tail(n: int, k: int, p: float) -> float:
+    """Chance of k or more of n."""
+    if not 0 < p < 1:
+        return 1.0
+    logs = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k, n + 1)]
+    return float(sum(exp(x) for x in logs))
+
+
 def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
     """Fits the machine on labelled documents."""
     y = np.array(toxic)
@@ -293,14 +304,15 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
     for t, label in zip(texts, toxic, strict=True):
         seen[label].update({n for c in chunks_of(t) if len(n := normal(c)) >= P})
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    # words that mark out label 1: the lower bound of their share of it is far above its base rate
-    least = max(2, round(0.004 * n1))
+    # words that mark out label 1: so unevenly spread that chance would give less than
+    # EXPECTED_BY_CHANCE of the words that stand in as many documents
+    share = sum(seen[1].values()) / max(1, sum(seen[1].values()) + sum(seen[0].values()))
+    spread = Counter(seen[0][w] + seen[1][w] for w in set(seen[0]) | set(seen[1]))
     marked = {}
     for w, k in seen[1].items():
         other = seen[0][w]
-        if k >= least and (k / n1) > 8 * (other + 0.5) / n0:
+        if k >= 3 and (k / n1) > 8 * (other + 0.5) / n0 and _tail(k + other, k, share) * spread[k + other] < EXPECTED_BY_CHANCE:
             marked[w] = (k / n1) * np.log(((k + 0.5) / n1) / ((other + 0.5) / n0))
-    # a word that is new wherever it stands is as rare in both; ask for more weight than chance gives
     best = sorted(marked, key=lambda w: (-marked[w], w))[:LANDMARKS]
     if best:
         top = marked[best[0]]
