@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -41,5 +42,12 @@ def duck(sf):
 def rows_of(frame):
     """Rows as sorted text, columns by name, floats rounded."""
     frame = frame[sorted(frame.columns)].astype(object)
-    tidy = lambda v: None if v is None or v != v else round(v, 9) if isinstance(v, float) else v
+
+    def tidy(v):
+        if v is None or v is pd.NA or v != v:
+            return None
+        if isinstance(v, float):
+            return int(v) if v == int(v) else round(v, 9)
+        return v
+
     return sorted(repr(tuple(map(tidy, r))) for r in frame.itertuples(index=False, name=None))
