@@ -21,6 +21,14 @@ def changed_box(idx_px: DataFrame) -> DataFrame:
     return moved.groupBy("frame").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("changed"))
 
 
+def distances(px: DataFrame) -> DataFrame:
+    """L1 distance of every pixel to the frame before, over colour and over all four bytes."""
+    at = Window.partitionBy("y", "x").orderBy("frame")
+    near = px.select("*", *(F.lag(c).over(at).alias(f"_{c}") for c in "rgba")).where("_r is not null")
+    gap = {n: sum((F.abs(F.col(c) - F.col(f"_{c}")) for c in n[1:]), F.abs(F.col(n[0]) - F.col(f"_{n[0]}"))) for n in ("rgb", "rgba")}
+    return near.select("frame", "y", "x", gap["rgb"].alias("l1_rgb"), gap["rgba"].alias("l1_rgba"))
+
+
 def punch(idx_px: DataFrame, trans: int) -> DataFrame:
     """Pixels that did not change become the transparent index."""
     prev = with_previous(idx_px)

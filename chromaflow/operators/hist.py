@@ -99,3 +99,9 @@ def palette_entries(hist: DataFrame, fold_above: int = FOLD_ABOVE) -> DataFrame:
 
 def any_transparent(px: DataFrame) -> DataFrame:
     return px.agg(F.coalesce(F.bool_or(~C.opaque(F.col("a"))), F.lit(False)).alias("any_alpha"))
+
+
+def packed_sizes(px: DataFrame) -> DataFrame:
+    """By frame: pixels, whether all are opaque, and the bytes it takes with alpha dropped where it says nothing."""
+    by = px.groupBy("frame").agg(F.count("*").alias("pixels"), F.bool_and(C.opaque(F.col("a"))).alias("opaque"))
+    return by.withColumn("bytes", F.col("pixels") * F.when(F.col("opaque"), 3).otherwise(4))

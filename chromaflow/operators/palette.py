@@ -127,6 +127,13 @@ def box_moments(entries: DataFrame, box: str, values: list[str], weight: str = "
     return out.withColumn("axis", axis)
 
 
+def worst_box(moments: DataFrame, box: str, values: list[str]) -> DataFrame:
+    """The box with the largest error in one value, the least box on ties: the next to be split."""
+    worst = F.greatest(*(F.col(f"err_{v}") for v in values)) if len(values) > 1 else F.col(f"err_{values[0]}")
+    top = F.max_by(F.struct(box, "axis", "total"), F.struct(worst, -F.col(box)))
+    return moments.agg(top.alias("t")).select("t.*")
+
+
 def weighted_split(entries: DataFrame, box: str, value: str, weight: str = "n", name: str = "rgb") -> DataFrame:
     """Every entry with the side of the weighted median it falls on: `is_left` is the least
     prefix by (value, name) whose weight passes half, never the whole box."""

@@ -54,8 +54,9 @@ def has_alpha(frames: DataFrame) -> bool:
     return bool(frames.select("data").mapInArrow(run, "clear boolean").where("clear").limit(1).count())
 
 
-def encoded_frames(frames: DataFrame, clip: Clip, options: Options) -> tuple[DataFrame, np.ndarray]:
-    """encoded(frame, delay_cs, body, disposal) and the palette."""
+def encoded_frames(frames: DataFrame, clip: Clip, options: Options, held: list[DataFrame] | None = None) -> tuple[DataFrame, np.ndarray]:
+    """encoded(frame, delay_cs, body, disposal) and the palette.  `held` gets the tables
+    that are kept between passes, for the caller to release."""
     options.check()
     clock, marks = perf_counter(), options.stats
     if options.smooth:
@@ -71,6 +72,8 @@ def encoded_frames(frames: DataFrame, clip: Clip, options: Options) -> tuple[Dat
     clear = has_alpha(frames)
     scaled = bool(options.lossy) and options.dither == "none"
     idx = dither.quantize(frames, clip.width, clip.height, colors, options.dither, options.dither_gate, exact, scaled).persist(StorageLevel.MEMORY_AND_DISK)
+    if held is not None:
+        held += [frames, counts, idx]
     timing = delta.frame_delays(frames, clip.fps_num, clip.fps_den)
     return gif.encode_frames(idx, timing, clip.width, clip.height, colors, clear, options.lossy), colors
 
@@ -80,9 +83,12 @@ def encode(frames: DataFrame, clip: Clip, **options) -> bytes:
     in order, one partition at a time."""
     settings = Options(**options)
     clock = perf_counter()
-    encoded, colors = encoded_frames(frames, clip, settings)
+    held: list[DataFrame] = []
+    encoded, colors = encoded_frames(frames, clip, settings, held)
     ordered = encoded.orderBy("frame").toLocalIterator()
     out = b"".join(gif.mux(clip.width, clip.height, colors, ((r["delay_cs"], bytes(r["body"]), r["disposal"]) for r in ordered), settings.loop))
+    for kept in held:
+        kept.unpersist()
     settings.stats |= {"total_s": perf_counter() - clock, "bytes": len(out)}
     return out
 

@@ -466,6 +466,41 @@ def _(spark, d):
     return filters.smooth_px(B.event_raster(spark, d), 130, B.SIDE, B.SIDE)
 
 
+@query("packed_sizes", f"WITH {EVENTS} SELECT frame, count(*) AS pixels, bool_and(a >= 128) AS opaque, count(*) * CASE WHEN bool_and(a >= 128) THEN 3 ELSE 4 END AS bytes FROM px GROUP BY frame")
+def _(spark, d):
+    return hist.packed_sizes(B.event_raster(spark, d))
+
+
+@query("pixel_distances", f"""WITH {EVENTS}, near AS (SELECT *, lag(r) OVER w AS pr, lag(g) OVER w AS pg, lag(b) OVER w AS pb, lag(a) OVER w AS pa FROM px WINDOW w AS (PARTITION BY y, x ORDER BY frame))
+SELECT frame, y, x, (abs(r - pr) + abs(g - pg) + abs(b - pb))::INT AS l1_rgb, (abs(r - pr) + abs(g - pg) + abs(b - pb) + abs(a - pa))::INT AS l1_rgba FROM near WHERE pr IS NOT NULL""")
+def _(spark, d):
+    return delta.distances(B.event_raster(spark, d))
+
+
+@query("worst_box", f"""WITH {LINES}, boxed AS (SELECT *, (r // 64)::INT AS box FROM split),
+sums AS (SELECT box, sum(n)::BIGINT AS total, sum(n * r)::DOUBLE AS sr, sum(n * g)::DOUBLE AS sg, sum(n * b)::DOUBLE AS sb, sum(n * r * r)::DOUBLE AS qr, sum(n * g * g)::DOUBLE AS qg, sum(n * b * b)::DOUBLE AS qb FROM boxed GROUP BY box),
+errs AS (SELECT box, total, qr - sr * sr / total AS er, qg - sg * sg / total AS eg, qb - sb * sb / total AS eb FROM sums)
+SELECT box, CASE WHEN er >= eg AND er >= eb THEN 0 WHEN eg >= eb THEN 1 ELSE 2 END AS axis, total FROM errs ORDER BY greatest(er, eg, eb) DESC, box LIMIT 1""")
+def _(spark, d):
+    r, g, b = C.channels(F.col("rgb"))
+    entries = B.line_histogram(spark, d).select("rgb", "n", r.alias("r"), g.alias("g"), b.alias("b"), F.floor(r / 64).cast("int").alias("box"))
+    return palette.worst_box(palette.box_moments(entries, "box", ["r", "g", "b"]), "box", ["r", "g", "b"])
+
+
+@query("streamed_histogram", f"WITH {EVENTS} SELECT (r * 65536 + g * 256 + b)::INT AS rgb, count(*) AS n FROM px WHERE a >= 128 GROUP BY 1")
+def _(spark, d):
+    """The running histogram after a stream of the whole table has been read."""
+    from uuid import uuid4
+
+    from chromaflow.streaming.live import running_histogram
+
+    schema = B.table(spark, d, "events").schema
+    px = B.raster_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
+    name = f"histogram_{uuid4().hex}"
+    running_histogram(px).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 # Kernels and whole encodes: beyond SQL.
 
 

@@ -20,8 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster_of(table(spark, sf_dir, "events"))
+
+
+def raster_of(events: DataFrame) -> DataFrame:
     """px(frame, y, x, r, g, b, a, pos): level 0..3 of the value sets the channels, purchases are transparent."""
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.least(F.floor(F.col("value") / 16), F.lit(3)).cast("int").alias("v"))
+    e = events.select("event_id", "event_type", F.least(F.floor(F.col("value") / 16), F.lit(3)).cast("int").alias("v"))
     pos = F.col("event_id") % 100
     return e.select(
         F.floor(F.col("event_id") / 100).cast("int").alias("frame"),
