@@ -104,7 +104,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     on = [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys]
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(r), on, how).drop(*[f"__r_{k}" for k in keys])
-    left = left.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in left.columns if c not in keys][:2] or keys), F.lit(salts)).cast("int"))
+    left = left.withColumn("__salt", F.pmod(F.xxhash64(*([c for c in left.columns if c not in keys][:2] or keys)), F.lit(salts)).cast("int"))
     r = r.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = [left["__salt"] == r["__r_salt"]] + [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys]
     return left.join(r, on, how).drop("__salt", "__r_salt", *[f"__r_{k}" for k in keys])
