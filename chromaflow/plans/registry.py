@@ -31,9 +31,19 @@ split AS (SELECT rgb, n, rgb >> 16 AS r, (rgb >> 8) & 255 AS g, rgb & 255 AS b F
 PALETTE_SQL = "palette(idx, r, g, b) AS (VALUES " + ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(PALETTE)) + ")"
 
 
+def _fresh(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Runs with the session's own batch size, whatever an operator before has set."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def query(name: str, sql: str | None = None):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
+        QUERIES[name] = _fresh(fn)
         if sql:
             SQL[name] = sql
         return fn
@@ -537,7 +547,7 @@ def _indexes(mode: str):
 
 
 for _mode, _name in (("none", "quantize_plain"), ("bayer", "quantize_bayer"), ("bluenoise", "quantize_bluenoise"), ("auto", "quantize_auto"), ("sierra2", "sierra_diffusion")):
-    QUERIES[_name] = _indexes(_mode)
+    QUERIES[_name] = _fresh(_indexes(_mode))
 
 
 @query("lzw_sizes")
