@@ -138,7 +138,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     ids = Durable(keyed.select("vec_id", F.col("key")))
     classes = ids.read().groupBy("key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"))
     first = Durable(keyed.select("vec_id", "v", F.col("key").alias("k")).join(classes.withColumnRenamed("key", "c"), (F.col("k") == F.col("c")) & (F.col("vec_id") == F.col("cls"))).select("cls", "copies", "v").dropDuplicates(["cls"]))
-    dims = [r[0] for r in first.read().select(F.size("v")).distinct().limit(1000).collect()]
+    dims = [r[0] for r in first.read().select(F.size("v")).distinct().collect()]
     found = None
     for dim in dims:
         own = first.read().where(F.size("v") == dim)

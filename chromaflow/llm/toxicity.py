@@ -48,7 +48,7 @@ EXPECTED_BY_CHANCE = 0.02
 FLOOR = -1.0
 #: Chunks longer than this are scored in windows of this length, half overlapping.
 WINDOW = 24
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 
 # The alphabet of the kernel, and signs read as the letters they look like.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
