@@ -32,7 +32,7 @@ MIN_CONFIDENCE = 0.2
 
 # Equal to the leftmost, non-overlapping matches of the plain patterns, but linear in
 # long runs: a run is entered at its start (or where the last match ended) only.
-_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A private-use character that stands for one separator between digits.

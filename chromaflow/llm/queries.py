@@ -5,6 +5,7 @@ from __future__ import annotations
 from .digest import op4_quartile_digest
 from .language_model import op2_bloom_language_model
 from .mixing import op8_source_mixing
+from .neardup_vectors import SQL as _VECTOR_SQL
 from .neardup_vectors import op5_kmeans_neardup
 from .packing import op7_vector_packing
 from .pii import op3_bootstrapped_pii
@@ -28,5 +29,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op5_kmeans_neardup": _VECTOR_SQL,
     "op6_preference_format": _PREFERENCE_SQL,
 }
