@@ -80,9 +80,15 @@ def median_cut(rgb: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
 def nearest(lab: np.ndarray, palette_lab: np.ndarray) -> np.ndarray:
     """Index of the nearest palette colour, the lowest on ties."""
     out = np.empty(len(lab), dtype=np.int64)
-    for at in range(0, len(lab), 16_384):
-        d = lab[at : at + 16_384, None, :] - palette_lab[None, :, :]
-        out[at : at + 16_384] = (d * d).sum(axis=2).argmin(axis=1)
+    columns = [np.ascontiguousarray(c) for c in palette_lab.T]
+    for at in range(0, len(lab), 1024):  # the distances of a part stay in cache
+        part = lab[at : at + 1024]
+        total = np.zeros((len(part), len(palette_lab)), dtype=lab.dtype)
+        for k, column in enumerate(columns):
+            gap = part[:, k, None] - column
+            gap *= gap
+            total += gap
+        out[at : at + 1024] = total.argmin(axis=1)
     return out
 
 
