@@ -31,16 +31,22 @@ def color_histogram(px: DataFrame) -> DataFrame:
     return with_key(px.where(C.opaque(F.col("a")))).groupBy("rgb").agg(F.count("*").alias("n"))
 
 
-def frame_histogram(frames: DataFrame, batch: int = 16) -> DataFrame:
-    """hist(rgb, n) of frames(data) holding RGBA bytes."""
+#: Key under which `frame_histogram` counts transparent pixels, if asked to.
+CLEAR = -1
+
+
+def frame_histogram(frames: DataFrame, batch: int = 16, clear: bool = False) -> DataFrame:
+    """hist(rgb, n) of frames(data) holding RGBA bytes; with `clear` transparent pixels count as CLEAR."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = []
             for raw in b.column(0).to_pylist():
                 p = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 4)
-                p = p[p[:, 3] >= 128].astype(np.int32)
-                keys.append(p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2])
+                on = p[:, 3] >= 128
+                p = p.astype(np.int32)
+                own = p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]
+                keys.append(np.where(on, own, CLEAR) if clear else own[on])
             rgb, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(rgb, pa.int32()), pa.array(n, pa.int64())], names=["rgb", "n"])
 

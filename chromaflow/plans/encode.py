@@ -41,19 +41,6 @@ class Options:
         return self
 
 
-def has_alpha(frames: DataFrame) -> bool:
-    """Whether any pixel is transparent; stops at the first frame found."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            found = [bool((np.frombuffer(d, np.uint8)[3::4] < 128).any()) for d in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["clear"])
-
-    return bool(frames.select("data").mapInArrow(run, "clear boolean").where("clear").limit(1).count())
-
-
 def encoded_frames(frames: DataFrame, clip: Clip, options: Options, held: list[DataFrame] | None = None) -> tuple[DataFrame, np.ndarray]:
     """encoded(frame, delay_cs, body, disposal) and the palette.  `held` gets the tables
     that are kept between passes, for the caller to release."""
@@ -64,16 +51,17 @@ def encoded_frames(frames: DataFrame, clip: Clip, options: Options, held: list[D
     if options.hold:
         frames = filters.hold(frames, clip.width, clip.height, options.hold)
     frames = frames.persist(StorageLevel.MEMORY_AND_DISK)
-    counts = hist.frame_histogram(frames).persist(StorageLevel.MEMORY_AND_DISK)
-    n_colors = counts.count()
+    # one pass counts colours and tells whether anything is transparent
+    counted = hist.frame_histogram(frames, clear=True).persist(StorageLevel.MEMORY_AND_DISK)
+    n_keys, n_clear = counted.agg(F.count("*"), F.count_if(F.col("rgb") == hist.CLEAR)).first()
+    counts, n_colors, clear = counted.where(F.col("rgb") != hist.CLEAR), n_keys - n_clear, n_clear > 0
     exact = n_colors < options.colors
     colors = palette.build_palette(hist.palette_entries(counts), options.colors - 1)
     marks |= {"palette_s": perf_counter() - clock, "colors": len(colors), "distinct": n_colors}
-    clear = has_alpha(frames)
     scaled = bool(options.lossy) and options.dither == "none"
     idx = dither.quantize(frames, clip.width, clip.height, colors, options.dither, options.dither_gate, exact, scaled).persist(StorageLevel.MEMORY_AND_DISK)
     if held is not None:
-        held += [frames, counts, idx]
+        held += [frames, counted, idx]
     timing = delta.frame_delays(frames, clip.fps_num, clip.fps_den)
     return gif.encode_frames(idx, timing, clip.width, clip.height, colors, clear, options.lossy), colors
 
@@ -85,6 +73,9 @@ def encode(frames: DataFrame, clip: Clip, **options) -> bytes:
     clock = perf_counter()
     held: list[DataFrame] = []
     encoded, colors = encoded_frames(frames, clip, settings, held)
+    # sorting samples its input first: bodies are made once
+    encoded = encoded.persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(encoded)
     ordered = encoded.orderBy("frame").toLocalIterator()
     out = b"".join(gif.mux(clip.width, clip.height, colors, ((r["delay_cs"], bytes(r["body"]), r["disposal"]) for r in ordered), settings.loop))
     for kept in held:
