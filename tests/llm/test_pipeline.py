@@ -69,5 +69,5 @@ def test_pieces_cover_the_mix(stages):
 def test_run_is_registered(spark):
     import __spark_entry__ as entry
 
-    assert entry.queries()["pipeline"] is pipeline.run and set(queries.QUERIES) <= set(entry.queries())
+    assert entry.queries()["pipeline"].__wrapped__ is pipeline.run and set(queries.QUERIES) <= set(entry.queries())
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
