@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Durable, arrow_rows, crc, map_arrow, table
 
 #: Tokens of a block.
-BLOCK_TOKENS = 500_000
+BLOCK_TOKENS = 300_000
 #: Tokens that are scored at a time.
 PART_TOKENS = 200_000
 BASE, MIN_COUNT, HASHES, BITS_A_KEY, MAX_FILTER_MB = 1.5, 2, 5, 12, 256
@@ -156,6 +156,13 @@ def count_unigrams(blocks: DataFrame, shards: int) -> DataFrame:
     return sent.groupBy("shard").applyInPandas(add, "block long, shard int, counts binary, distinct long")
 
 
+def totals(hashes: np.ndarray, parts: list[bytes], shards: int) -> np.ndarray:
+    """A block's total counts in the order of its vocabulary, from those of its shards in turn."""
+    out = np.zeros(len(hashes), dtype=np.int64)
+    out[_cut(shard_of(hashes, shards), shards)[0]] = np.concatenate([unpack(p)["c"].astype(np.int64) for p in parts])
+    return out
+
+
 def bigrams(flat: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """GRAM_BITS-bit hashes of (word before, word) for every token, and the indexes of the words before."""
     before = np.empty_like(flat)
@@ -195,14 +202,15 @@ def _grams(p: dict) -> np.ndarray:
     return np.cumsum(np.concatenate([p["first"], p["gaps"].astype(np.uint64)]), dtype=np.uint64)
 
 
-def count_bigrams(full: DataFrame, shards: int, min_count: int) -> DataFrame:
+def count_bigrams(full: DataFrame, words_in: int, shards: int, min_count: int) -> DataFrame:
     """`(shard, grams, tokens, table)`: bigrams of min_count and more with their counts;
-    training tokens by class of the context; and bigrams by class and level."""
+    training tokens by class of the context; and bigrams by class and level.  Words are in `words_in` shards, bigrams in `shards`."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for packed, raw, counted in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                t, hashes, total = unpack(packed), np.frombuffer(raw, dtype=np.uint64), unpack(counted)["c"]
+                t, hashes = unpack(packed), np.frombuffer(raw, dtype=np.uint64)
+                total = totals(hashes, counted, words_in)
                 sizes = t["sizes"].astype(np.int64)
                 grams, before = bigrams(t["flat"].astype(np.int64), sizes, hashes)
                 use = np.repeat(t["learnt"], sizes)
@@ -230,7 +238,7 @@ def count_bigrams(full: DataFrame, shards: int, min_count: int) -> DataFrame:
         np.add.at(by, (b, np.minimum(level_of(total, min_count), LEVELS - 1)), 1)
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "grams": [pack(**_ascending(grams), n=small(total)) if len(grams) else b""], "tokens": [tokens.tobytes()], "by": [by.tobytes()]})
 
-    sent = full.select("texts", "hashes", "total").mapInArrow(send, "shard int, grams binary")
+    sent = full.select("texts", "hashes", "parts").mapInArrow(send, "shard int, grams binary")
     return sent.groupBy("shard").applyInPandas(add, "shard int, grams binary, tokens binary, by binary")
 
 
@@ -334,24 +342,15 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     shards = max(2 * partitions, int(words) // SHARD_ENTRIES)
     unigrams = Durable(count_unigrams(blocks.read(), shards))
     distinct = unigrams.read().agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
-    # the shards' counts go back to their blocks and into the order of the vocabulary
+    # the shards' counts go back to their blocks
     lists = unigrams.read().groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("parts")).withColumnRenamed("block", "_b")
     met = blocks.read().select("block", "texts", "hashes").join(lists.hint("shuffle_hash"), F.col("block") == F.col("_b")).select("texts", "hashes", F.transform("parts", lambda p: p["counts"]).alias("parts"))
 
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for raw, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                total = np.zeros(len(raw) // 8, dtype=np.int64)
-                total[_cut(shard_of(np.frombuffer(raw, dtype=np.uint64), shards), shards)[0]] = np.concatenate([unpack(p)["c"].astype(np.int64) for p in parts])
-                out.append(pack(c=small(total)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["texts", "hashes", "total"])
-
-    full = Durable(met.mapInArrow(order, "texts binary, hashes binary, total binary"))
+    full = Durable(met)
     blocks.drop()
     unigrams.drop()
     ranges = max(2 * partitions, int(train) // (2 * SHARD_ENTRIES))
-    counted = Durable(count_bigrams(full.read(), ranges, min_count))
+    counted = Durable(count_bigrams(full.read(), shards, ranges, min_count))
     model = spark.sparkContext.broadcast(build_filter(counted.read(), ranges, min_count, max_filter_mb))
     counted.drop()
     below = float(train + distinct + 1)
@@ -360,7 +359,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         held, kappa, alpha = model.value
         for b in batches:
             for packed, raw, counts in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                t, hashes, total = unpack(packed), np.frombuffer(raw, dtype=np.uint64), unpack(counts)["c"].astype(np.float64)
+                t, hashes = unpack(packed), np.frombuffer(raw, dtype=np.uint64)
+                total = totals(hashes, counts, shards).astype(np.float64)
                 sizes, flat = t["sizes"].astype(np.int64), t["flat"]
                 ends = np.cumsum(sizes)
                 one = (total + 1) / below
