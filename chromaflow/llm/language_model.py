@@ -27,6 +27,7 @@ ignored.  Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections import defaultdict
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ from .common import Durable, arrow_rows, crc, map_arrow, table
 #: Tokens of a block.
 BLOCK_TOKENS = 300_000
 #: Tokens that are scored at a time.
-PART_TOKENS = 200_000
+PART_TOKENS = 100_000
 BASE, MIN_COUNT, HASHES, BITS_A_KEY, MAX_FILTER_MB = 1.5, 2, 5, 12, 256
 #: Entries of a shard, about; shards grow in number with the input.
 SHARD_ENTRIES = 1_000_000
@@ -51,6 +52,15 @@ END = np.uint64(0)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+def trim() -> None:
+    """Gives memory that large blocks have left behind back to the system, where it can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     with np.errstate(over="ignore"):
@@ -111,6 +121,7 @@ def encode_blocks(docs: DataFrame, id_col: str, text_col: str, learn: Column, bl
                 tokens += len(words) + 1
                 if tokens >= block_tokens:
                     yield block()
+                    trim()
                     number += 1
                     vocab, ids, learnt, coded, tokens = fresh()
         if ids:
@@ -136,6 +147,7 @@ def count_unigrams(blocks: DataFrame, shards: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            trim()
             for number, raw, packed in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 hashes, counts = np.frombuffer(raw, dtype=np.uint64), unpack(packed)["c"]
                 order, starts = _cut(shard_of(hashes, shards), shards)
@@ -143,6 +155,7 @@ def count_unigrams(blocks: DataFrame, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([number] * len(parts)), pa.array([hashes[o].tobytes() for _, o in parts], pa.binary()), pa.array([pack(c=counts[o]) for _, o in parts], pa.binary())], names=["shard", "block", "hashes", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
+        trim()
         rows = rows.sort_values("block")
         hashes = [np.frombuffer(h, dtype=np.uint64) for h in rows["hashes"]]
         one, at = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -208,6 +221,7 @@ def count_bigrams(full: DataFrame, words_in: int, shards: int, min_count: int) -
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            trim()
             for packed, raw, counted in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 t, hashes = unpack(packed), np.frombuffer(raw, dtype=np.uint64)
                 total = totals(hashes, counted, words_in)
@@ -223,6 +237,7 @@ def count_bigrams(full: DataFrame, words_in: int, shards: int, min_count: int) -
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["shard", "grams"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
+        trim()
         parts = [unpack(p) for p in rows["grams"]]
         grams = np.concatenate([_grams(p) for p in parts])
         n = np.concatenate([p["n"].astype(np.int64) for p in parts])
@@ -358,6 +373,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kappa, alpha = model.value
         for b in batches:
+            trim()
             for packed, raw, counts in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 t, hashes = unpack(packed), np.frombuffer(raw, dtype=np.uint64)
                 total = totals(hashes, counts, shards).astype(np.float64)
