@@ -9,13 +9,15 @@ together) is mapped to its normalised kernel values with landmark strings,
 whitened by the inverse square root of the landmarks' own kernel matrix
 (Nyström), and scored by a linear support vector machine.
 
-Training takes sentences of a bounded sample of labelled documents: sentences
-of documents labelled 0 are negative; in documents labelled 1 the sentences
-whose words mark out that label are positive.  A sentence is represented by
-its witness chunk.  Positive chunks are also shown with one letter inserted,
-and the machine is fitted again with the clean words it scored highest.  A
-document's score joins its highest chunk score and the number of chunks above
-the border by logistic regression on the sample.
+Training takes a bounded sample of labelled documents.  Words and their
+beginnings (stems) that mark out label 1 are tested against chance, and each
+marking word is filed under its likeliest stem.  Stems that clean documents
+hardly hold are sure: one such chunk decides.  The others are weak: several
+must add up.  Each kind has a machine of its own, fitted on the marking words
+against clean words, all with one letter inserted too, and again with the
+clean words it scored highest.  A document's score is the greater of two
+logistic regressions on the sample: of its highest sure chunk score and the
+number of sure chunks, and of the number of weak chunks and of all chunks.
 
 Defined results: null and empty texts get the score of a text without chunks;
 repeated rows get the same score; with no label of a class, all scores are 0;
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import exp, lgamma, log
 
@@ -41,9 +43,12 @@ from .common import crc, map_arrow, table
 P, DECAY = 3, 0.8
 #: Most labelled documents that are learnt from (those with the least hash of their id).
 SAMPLE = 4000
-LANDMARKS, CLEAN_LANDMARKS, HARD_LANDMARKS = 48, 16, 48
+CLEAN_LANDMARKS, HARD_LANDMARKS = 16, 48
 #: Words that may mark out a label by chance alone, among those equally common.
 EXPECTED_BY_CHANCE = 0.02
+#: A stem is sure if at most this many clean documents hold it for one that is not, and
+#: EXPECTED_BY_CHANCE holds among the stems of any commonness together.
+SURE = 0.02
 #: Chunk scores below this are read as this.
 FLOOR = -1.0
 #: Chunks longer than this are scored in windows of this length, half overlapping.
@@ -51,7 +56,7 @@ WINDOW = 24
 CACHE_CHUNKS = 200_000
 
 # The alphabet of the kernel, and signs read as the letters they look like.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789äöüßáàâçéèêíñóú"
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
 _LIKE = str.maketrans(LOOKALIKE)
@@ -176,18 +181,23 @@ class Landmarks:
                 out[rows[at : at + 64]] = np.matmul(w, self.table[key[at : at + 64]]) / norm[at : at + 64, None]
         return out
 
-    def decisions(self, strings: list[str], beta: np.ndarray, floor: float) -> np.ndarray:
-        """max(floor, values @ beta[:-1] + beta[-1]): the landmarks' tables fold into one.  Norms are
-        found only where the value could be above the floor."""
-        folded = self.table @ beta[:-1].astype(np.float32)
-        out = np.full(len(strings), max(floor, float(beta[-1])))
+    def fold(self, beta: np.ndarray) -> np.ndarray:
+        """The landmarks' tables as one for each row of weights, its bias left out."""
+        return beta[:, :-1].astype(np.float32) @ self.table.T
+
+    def decisions(self, strings: list[str], beta: np.ndarray, floor: float, folded: np.ndarray | None = None) -> np.ndarray:
+        """max(floor, values @ beta[:-1] + beta[-1]), a column for each row of weights.  Norms are
+        found only where a value could be above the floor."""
+        folded = self.fold(beta) if folded is None else folded
+        bias = beta[:, -1]
+        out = np.tile(np.maximum(floor, bias), (len(strings), 1))
         for rows, key, w in self._keys(strings):
-            top = folded[key] @ w
+            top = np.stack([f[key] @ w for f in folded], axis=1)
             least = float(np.sqrt((w * w).sum()))
-            some = np.flatnonzero(top / least + beta[-1] > floor)
-            exact = np.full(len(rows), floor)
+            some = np.flatnonzero((top / least + bias > floor).any(axis=1))
+            exact = np.full(top.shape, floor)
             if len(some):
-                exact[some] = np.maximum(floor, top[some] / _norms(key[some], w) + beta[-1])
+                exact[some] = np.maximum(floor, top[some] / _norms(key[some], w)[:, None] + bias)
             out[rows] = exact
         return out
 
@@ -242,18 +252,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 @dataclass
 class Model:
     landmarks: list[str]
-    beta: np.ndarray  # one weight a landmark, the bias last
-    doc: np.ndarray  # logistic weights of (highest chunk score, log count); the border stays at score 0
+    beta: np.ndarray  # two rows, for sure and weak chunks: one weight a landmark, the bias last
+    doc: np.ndarray  # logistic weights of (highest sure score, log count of sure chunks); the border stays at score 0
+    weak: np.ndarray | None = None  # logistic weights of (log count of weak chunks, log count of all, 1)
 
     def start(self) -> Model:
         self.marks = Landmarks(self.landmarks)
-        self.cache: dict[str, float] = {}
+        self.folded = self.marks.fold(self.beta)
+        del self.marks.table
+        self.cache: dict[str, tuple[float, float]] = {}
         return self
 
     def chunk_scores(self, chunks: list[str]) -> np.ndarray:
+        """(chunks, 2): scores as sure and as weak chunks."""
         parts = [windows(normal(c)) for c in chunks]
         flat = [w for p in parts for w in p]
-        scores = self.marks.decisions(flat, self.beta, FLOOR)
+        scores = self.marks.decisions(flat, self.beta, FLOOR, self.folded)
         ends = np.cumsum([len(p) for p in parts])
         return np.maximum.reduceat(scores, np.concatenate([[0], ends[:-1]])) if len(parts) else scores
 
@@ -263,26 +277,27 @@ class Model:
             self.cache.clear()
         new = [c for c in found if c not in self.cache]
         if new:
-            self.cache.update(zip(new, self.chunk_scores(new).tolist(), strict=True))
+            self.cache.update(zip(new, map(tuple, self.chunk_scores(new).tolist()), strict=True))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Highest chunk score and log count of chunks above the border, a row a text."""
+        """Highest sure score and log counts of sure, weak and all chunks, a row a text."""
         found = [chunks_of(t) for t in texts]
-        out = np.empty((len(texts), 2))
+        out = np.empty((len(texts), 4))
         for at in range(0, len(found), 64):
             self.learn(set().union(*found[at : at + 64]))
             for i, f in enumerate(found[at : at + 64], at):
                 scores = [self.cache[c] for c in f]
-                out[i] = max(scores, default=FLOOR), np.log1p(sum(s > 0 for s in scores))
+                out[i] = max((s for s, _ in scores), default=FLOOR), *np.log1p([sum(s > 0 for s, _ in scores), sum(v > 0 for _, v in scores), len(f)])
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not len(self.landmarks):
             return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.doc, -30, 30)))
-
-
-_SENTENCE = re.compile(r"[.!?]+\s|\n")
+        x = self.features(texts)
+        logit = x[:, :2] @ self.doc
+        if self.weak is not None:
+            logit = np.maximum(logit, np.where(x[:, 2] > 0, x[:, 2:] @ self.weak[:2] + self.weak[2], -30))
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
 def _tail(n: int, k: int, p: float) -> float:
@@ -293,44 +308,97 @@ def _tail(n: int, k: int, p: float) -> float:
     return float(sum(exp(x) for x in logs))
 
 
+def stems_of(word: str) -> list[str]:
+    """The word and its beginnings of P letters and more."""
+    return [word[:k] for k in range(P, min(len(word), WINDOW) + 1)]
+
+
+def marking(texts: list[str | None], toxic: list[int]) -> tuple[dict[str, tuple[int, int, bool]], tuple[Counter, Counter]]:
+    """Stems that mark out label 1, with the documents of either label that hold them
+    (1 first) and whether they are sure, and the documents that hold each word, by label."""
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    held: tuple[Counter, Counter] = (Counter(), Counter())
+    for t, label in zip(texts, toxic, strict=True):
+        words = {n for c in chunks_of(t) if len(n := normal(c)) >= P}
+        seen[label].update(words)
+        held[label].update({s for w in words for s in stems_of(w)})
+    n1, n0 = sum(y == 1 for y in toxic), sum(y == 0 for y in toxic)
+    # so unevenly spread that chance would give less than EXPECTED_BY_CHANCE of the
+    # words or stems that stand in as many documents
+    found = {}
+    for of in (seen, held):
+        share = sum(of[1].values()) / max(1, sum(of[1].values()) + sum(of[0].values()))
+        spread = Counter((of[0] + of[1]).values())
+        for w, k in of[1].items():
+            other = of[0][w]
+            if k >= 3 and (k / n1) > 8 * (other + 0.5) / n0 and (chance := _tail(k + other, k, share) * spread[k + other]) < EXPECTED_BY_CHANCE:
+                sure = held[0][w] <= SURE * held[1][w] and chance * len(spread) < EXPECTED_BY_CHANCE
+                found[w] = held[1][w], held[0][w], sure
+    return found, seen
+
+
+def _likelihood(k: int, other: int, n1: int, n0: int) -> float:
+    """How much likelier the spread is under a rate of its own than under that of all documents."""
+    n, p = k + other, n1 / (n1 + n0)
+    return k * log(k / n / p) + (other * log(other / n / (1 - p)) if other else 0.0)
+
+
+def _filed(words: Iterable[str], found: dict, n1: int, n0: int) -> dict[str, str]:
+    """The words that have a stem in `found`, each with its likeliest."""
+    rank = {s: (_likelihood(*v[:2], n1, n0), len(s)) for s, v in found.items()}
+    held = {w: [s for s in stems_of(w) if s in rank] for w in words}
+    return {w: max(stems, key=rank.__getitem__) for w, stems in held.items() if stems}
+
+
 def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
-    """Fits the machine on labelled documents."""
+    """Fits the machines on labelled documents."""
     y = np.array(toxic)
-    empty = Model([], np.zeros(1), np.zeros(2))
+    empty = Model([], np.zeros((2, 1)), np.zeros(2))
     if not (y == 1).any() or not (y == 0).any():
         return empty
-    rng = np.random.default_rng(seed)
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for t, label in zip(texts, toxic, strict=True):
-        seen[label].update({n for c in chunks_of(t) if len(n := normal(c)) >= P})
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    # words that mark out label 1: so unevenly spread that chance would give less than
-    # EXPECTED_BY_CHANCE of the words that stand in as many documents
-    share = sum(seen[1].values()) / max(1, sum(seen[1].values()) + sum(seen[0].values()))
-    spread = Counter(seen[0][w] + seen[1][w] for w in set(seen[0]) | set(seen[1]))
-    marked = {}
-    for w, k in seen[1].items():
-        other = seen[0][w]
-        if k >= 3 and (k / n1) > 8 * (other + 0.5) / n0 and _tail(k + other, k, share) * spread[k + other] < EXPECTED_BY_CHANCE:
-            marked[w] = (k / n1) * np.log(((k + 0.5) / n1) / ((other + 0.5) / n0))
-    best = sorted(marked, key=lambda w: (-marked[w], w))[:LANDMARKS]
-    if best:
-        top = marked[best[0]]
-        best = [w for w in best if marked[w] >= 0.25 * top]
-    if not best:
-        return empty
-    positive_words = set(best)
-    clean_common = [w for w, _ in seen[0].most_common(CLEAN_LANDMARKS * 3) if w not in positive_words and len(w) >= P][:CLEAN_LANDMARKS]
-    # sentences and their witness chunks
-    witness: dict[str, int] = Counter()
+    found, seen = marking(texts, toxic)
+    # a stem that marks out the label only by the words of a likelier longer stem goes
+    of = _filed(seen[0].keys() | seen[1].keys(), found, n1, n0)
+    own: tuple[Counter, Counter] = (Counter(), Counter())
     for t, label in zip(texts, toxic, strict=True):
-        if label == 1 and t:
-            for s in _SENTENCE.split(t):
-                witness.update({n for c in chunks_of(s) if (n := normal(c)) in positive_words})
-    positive = sorted(witness)
+        own[label].update({of[n] for c in chunks_of(t) if (n := normal(c)) in of})
+    found = {s: v for s, v in found.items() if own[1][s] and _tail(own[1][s] + own[0][s], own[1][s], n1 / (n1 + n0)) < EXPECTED_BY_CHANCE}
+    kinds: tuple[dict[str, None], dict[str, None]] = ({}, {})  # words by kind of their stem: sure, weak
+    for w, stem in sorted(_filed(seen[1], found, n1, n0).items()):
+        kinds[0 if found[stem][2] else 1][w] = None
+    if not any(kinds):
+        return empty
+    rng = np.random.default_rng(seed)
+    marked = kinds[0].keys() | kinds[1].keys()
+    machines = [_machine(list(words), marked, seen, found, rng) for words in kinds]
+    strings = list(dict.fromkeys(s for marks, _ in machines for s in marks))
+    beta = np.zeros((2, len(strings) + 1))
+    at = {s: i for i, s in enumerate(strings)}
+    for row, (marks, b) in zip(beta, machines, strict=True):
+        for s, v in zip(marks, b[:-1], strict=True):
+            row[at[s]] += v
+        row[-1] = b[-1]
+    x = Model(strings, beta, np.zeros(2)).start().features(texts)
+    doc = np.maximum(fit_logistic(x[:, :2], y.astype(float)), [0.5, 0.0])
+    weak = None
+    rest = x[:, 1] == 0
+    if kinds[1] and (y[rest] == 1).any():
+        weak = fit_logistic(np.hstack([x[rest, 2:], np.ones((int(rest.sum()), 1))]), y[rest].astype(float))
+        weak = weak if weak[0] > 0 else None
+    return Model(strings, beta, doc, weak)
+
+
+def _machine(positive: list[str], marked: set[str], seen: tuple[Counter, Counter], found: dict, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
+    """Landmarks and weights of the machine that tells `positive` from the clean words that are not marked."""
+    if not positive:
+        return [], np.array([FLOOR])
+    best = sorted({max((s for s in stems_of(w) if s in found), key=len) for w in positive})
+    clean_common = [w for w, _ in seen[0].most_common(CLEAN_LANDMARKS * 3 + len(marked)) if w not in marked][:CLEAN_LANDMARKS]
     letters = ALPHABET[:26] + "-.*"
     gapped = [w[:k] + letters[int(rng.integers(len(letters)))] + w[k:] for w in positive for k in range(1, len(w))]
-    clean = sorted(w for w in seen[0] if w not in positive_words and len(w) <= WINDOW)
+    positive, gapped = ([w[:WINDOW] for w in words] for words in (positive, gapped))
+    clean = sorted(w for w in seen[0] if w not in marked and len(w) <= WINDOW)
     picked = [clean[i] for i in rng.choice(len(clean), size=min(3000, len(clean)), replace=False)] if clean else []
     hard: list[str] = []
     strings = [w[:WINDOW] for w in best + clean_common]
@@ -345,14 +413,11 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
         beta = np.append(whiten @ w[:-1], w[-1])
         if turn == 3 or not clean:
             break
-        scores = marks.decisions(clean, beta, -2.0)
+        scores = marks.decisions(clean, beta[None, :], -2.0)[:, 0]
         worst = [clean[i] for i in np.argsort(-scores, kind="stable")[:1500] if scores[i] > -1]
         hard = sorted(set(hard) | set(worst) - set(picked))
         strings = strings[: len(best) + len(clean_common)] + sorted(set(strings[len(best) + len(clean_common) :]) | set([h for h in worst if h not in strings][: HARD_LANDMARKS // 3]))
-    model = Model(marks.strings, beta, np.zeros(2)).start()
-    features = model.features(texts)
-    model.doc = np.maximum(fit_logistic(features, y.astype(float)), [0.5, 0.0])
-    return Model(model.landmarks, model.beta, model.doc)
+    return marks.strings, beta
 
 
 def _nystrom(strings: list[str]) -> tuple[Landmarks, np.ndarray]:
