@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaflow.llm import mixing, packing, secrets, simhash, toxicity
+from chromaflow.llm import mixing, packing, secrets, similar, toxicity
 from chromaflow.llm.common import Durable, table
 
 
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays."""
-    return simhash.keep_first(docs)
+    """The document with the least id stays of those linked by a similarity of 0.8 or more in shingles of five words."""
+    return similar.keep_first(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
