@@ -177,7 +177,7 @@ def bayer8() -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def blue_noise(size: int = 64, seed: int = 1, rounds: int = 60, width: float = 1.5) -> np.ndarray:
+def blue_noise(size: int = 64, seed: int = 1, rounds: int = 150, width: float = 1.2) -> np.ndarray:
     """A blue-noise threshold mask with values 0..255, each equally often.
 
     Made in the frequency plane (after the filtering of Mitsa and Parker, JOSA A
