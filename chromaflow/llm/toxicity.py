@@ -9,15 +9,22 @@ together) is mapped to its normalised kernel values with landmark strings,
 whitened by the inverse square root of the landmarks' own kernel matrix
 (Nyström), and scored by a linear support vector machine.
 
-Training takes a bounded sample of labelled documents.  Words and their
-beginnings (stems) that mark out label 1 are tested against chance, and each
-marking word is filed under its likeliest stem.  Stems that clean documents
-hardly hold are sure: one such chunk decides.  The others are weak: several
-must add up.  Each kind has a machine of its own, fitted on the marking words
-against clean words, all with one letter inserted too, and again with the
-clean words it scored highest.  A document's score is the greater of two
-logistic regressions on the sample: of its highest sure chunk score and the
-number of sure chunks, and of the number of weak chunks and of all chunks.
+Training takes the sentences of a bounded sample of labelled documents.  A
+sentence is a bag of chunks: all chunks of a sentence of a clean document are
+clean, and those of a toxic document's sentences are what the machine finds
+them to be (mi-SVM, Andrews et al., NIPS 2002).  The bags start from words and
+their beginnings (stems) that mark out label 1, tested against chance at a
+bounded rate of false discoveries, each marking word filed under its likeliest
+stem.  Stems that clean documents hardly hold are sure: one such chunk makes a
+sentence toxic.  The others are weak: several must add up.  Each kind has a
+machine of its own.  In every round it is fitted on the toxic chunks, weighted
+by the sentences that hold them, and on the same with one letter inserted,
+against clean chunks and those it scored highest before; then the chunks of
+toxic sentences are labelled anew, and a marked sentence keeps its highest.  A
+sentence's margin is that of its highest chunk.  A document's score is the
+greater of two logistic regressions on the sample: of its highest sentence
+margin and the number of toxic sentences, and of the number of weak chunks and
+of all chunks.
 
 Defined results: null and empty texts get the score of a text without chunks;
 repeated rows get the same score; with no label of a class, all scores are 0;
@@ -44,10 +51,14 @@ P, DECAY = 3, 0.8
 #: Most labelled documents that are learnt from (those with the least hash of their id).
 SAMPLE = 4000
 CLEAN_LANDMARKS, HARD_LANDMARKS = 16, 48
-#: Words that may mark out a label by chance alone, among those equally common.
-EXPECTED_BY_CHANCE = 0.02
+#: Share of chance finds among the marking words that are equally common (Benjamini and Hochberg).
+FALSE_FINDS = 0.05
+#: Chance of a stem's own words being as unevenly spread.
+BY_CHANCE = 0.02
+#: Clean words a round is fitted on, drawn from all of the sample's, and those scored highest that join them.
+CLEAN_WORDS, HARD_WORDS, TURNS = 3000, 1500, 4
 #: A stem is sure if at most this many clean documents hold it for one that is not, and
-#: EXPECTED_BY_CHANCE holds among the stems of any commonness together.
+#: FALSE_FINDS holds among the stems of any commonness together.
 SURE = 0.02
 #: Chunk scores below this are read as this.
 FLOOR = -1.0
@@ -64,6 +75,7 @@ _OUTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c no
 _SIGNS = re.compile(r"[\W_]+")
 _EDGE = re.compile(r"^[^\w$@!]+|[^\w$@]+$")
 _SPACED = re.compile(r"(?<!\S)\w(?:[ \t]+\w){2,}(?!\S)")
+_BREAK = re.compile(r"(?<=[.!?])\s+|[\n\r]+")
 _CODE = np.full(0x250, len(ALPHABET), dtype=np.int64)
 for _i, _c in enumerate(ALPHABET):
     _CODE[ord(_c)] = _i
@@ -92,6 +104,11 @@ def chunks_of(text: str | None) -> set[str]:
     return found
 
 
+def sentences_of(text: str | None) -> list[str]:
+    """A text cut after full stops, exclamation and question marks, and at line breaks."""
+    return [s for s in _BREAK.split(text) if s] if text else []
+
+
 def windows(s: str) -> list[str]:
     if len(s) <= WINDOW:
         return [s]
@@ -253,7 +270,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 class Model:
     landmarks: list[str]
     beta: np.ndarray  # two rows, for sure and weak chunks: one weight a landmark, the bias last
-    doc: np.ndarray  # logistic weights of (highest sure score, log count of sure chunks); the border stays at score 0
+    doc: np.ndarray  # logistic weights of (highest sentence margin, log count of toxic sentences); the border stays at score 0
     weak: np.ndarray | None = None  # logistic weights of (log count of weak chunks, log count of all, 1)
 
     def start(self) -> Model:
@@ -280,14 +297,17 @@ class Model:
             self.cache.update(zip(new, map(tuple, self.chunk_scores(new).tolist()), strict=True))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Highest sure score and log counts of sure, weak and all chunks, a row a text."""
+        """Highest sentence margin and log counts of toxic sentences, weak and all chunks, a row a text."""
         found = [chunks_of(t) for t in texts]
         out = np.empty((len(texts), 4))
         for at in range(0, len(found), 64):
             self.learn(set().union(*found[at : at + 64]))
             for i, f in enumerate(found[at : at + 64], at):
                 scores = [self.cache[c] for c in f]
-                out[i] = max((s for s, _ in scores), default=FLOOR), *np.log1p([sum(s > 0 for s, _ in scores), sum(v > 0 for _, v in scores), len(f)])
+                top = max((s for s, _ in scores), default=FLOOR)
+                sure = {c for c in f if self.cache[c][0] > 0} if top > 0 else set()
+                toxic = max(1, sum(not sure.isdisjoint(chunks_of(s)) for s in sentences_of(texts[i]))) if sure else 0
+                out[i] = top, *np.log1p([toxic, sum(v > 0 for _, v in scores), len(f)])
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -323,17 +343,26 @@ def marking(texts: list[str | None], toxic: list[int]) -> tuple[dict[str, tuple[
         seen[label].update(words)
         held[label].update({s for w in words for s in stems_of(w)})
     n1, n0 = sum(y == 1 for y in toxic), sum(y == 0 for y in toxic)
-    # so unevenly spread that chance would give less than EXPECTED_BY_CHANCE of the
-    # words or stems that stand in as many documents
+    # so unevenly spread that of those found among the words or stems that stand in
+    # as many documents, chance would give less than a share of FALSE_FINDS
     found = {}
     for of in (seen, held):
         share = sum(of[1].values()) / max(1, sum(of[1].values()) + sum(of[0].values()))
         spread = Counter((of[0] + of[1]).values())
+        tried: dict[int, list[tuple[float, str]]] = {}
         for w, k in of[1].items():
             other = of[0][w]
-            if k >= 3 and (k / n1) > 8 * (other + 0.5) / n0 and (chance := _tail(k + other, k, share) * spread[k + other]) < EXPECTED_BY_CHANCE:
-                sure = held[0][w] <= SURE * held[1][w] and chance * len(spread) < EXPECTED_BY_CHANCE
-                found[w] = held[1][w], held[0][w], sure
+            if k >= 3 and (k / n1) > 8 * (other + 0.5) / n0:
+                tried.setdefault(k + other, []).append((_tail(k + other, k, share), w))
+        for n, ones in tried.items():
+            ones.sort()
+            rate = [chance * spread[n] / rank for rank, (chance, _) in enumerate(ones, 1)]
+            for k in range(len(ones) - 2, -1, -1):
+                rate[k] = min(rate[k], rate[k + 1])
+            for r, (chance, w) in zip(rate, ones, strict=True):
+                if r < FALSE_FINDS:
+                    sure = held[0][w] <= SURE * held[1][w] and r * len(spread) < FALSE_FINDS
+                    found[w] = held[1][w], held[0][w], sure
     return found, seen
 
 
@@ -363,7 +392,7 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
     own: tuple[Counter, Counter] = (Counter(), Counter())
     for t, label in zip(texts, toxic, strict=True):
         own[label].update({of[n] for c in chunks_of(t) if (n := normal(c)) in of})
-    found = {s: v for s, v in found.items() if own[1][s] and _tail(own[1][s] + own[0][s], own[1][s], n1 / (n1 + n0)) < EXPECTED_BY_CHANCE}
+    found = {s: v for s, v in found.items() if own[1][s] and _tail(own[1][s] + own[0][s], own[1][s], n1 / (n1 + n0)) < BY_CHANCE}
     kinds: tuple[dict[str, None], dict[str, None]] = ({}, {})  # words by kind of their stem: sure, weak
     for w, stem in sorted(_filed(seen[1], found, n1, n0).items()):
         kinds[0 if found[stem][2] else 1][w] = None
@@ -371,7 +400,8 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
         return empty
     rng = np.random.default_rng(seed)
     marked = kinds[0].keys() | kinds[1].keys()
-    machines = [_machine(list(words), marked, seen, found, rng) for words in kinds]
+    bags = [{n for c in chunks_of(s) if P <= len(n := normal(c)) <= WINDOW} for t, label in zip(texts, toxic, strict=True) if label == 1 for s in sentences_of(t)]
+    machines = [_machine(list(words), marked, bags, seen, found, rng) for words in kinds]
     strings = list(dict.fromkeys(s for marks, _ in machines for s in marks))
     beta = np.zeros((2, len(strings) + 1))
     at = {s: i for i, s in enumerate(strings)}
@@ -389,34 +419,47 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
     return Model(strings, beta, doc, weak)
 
 
-def _machine(positive: list[str], marked: set[str], seen: tuple[Counter, Counter], found: dict, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
-    """Landmarks and weights of the machine that tells `positive` from the clean words that are not marked."""
-    if not positive:
+def _machine(start: list[str], marked: set[str], bags: list[set[str]], seen: tuple[Counter, Counter], found: dict, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
+    """Landmarks and weights of the machine that tells toxic chunks from clean ones.
+
+    start: the chunks held toxic at first; bags: the sentences of toxic documents."""
+    if not start:
         return [], np.array([FLOOR])
-    best = sorted({max((s for s in stems_of(w) if s in found), key=len) for w in positive})
+    best = sorted({max((s for s in stems_of(w) if s in found), key=len) for w in start})
     clean_common = [w for w, _ in seen[0].most_common(CLEAN_LANDMARKS * 3 + len(marked)) if w not in marked][:CLEAN_LANDMARKS]
     letters = ALPHABET[:26] + "-.*"
-    gapped = [w[:k] + letters[int(rng.integers(len(letters)))] + w[k:] for w in positive for k in range(1, len(w))]
-    positive, gapped = ([w[:WINDOW] for w in words] for words in (positive, gapped))
     clean = sorted(w for w in seen[0] if w not in marked and len(w) <= WINDOW)
-    picked = [clean[i] for i in rng.choice(len(clean), size=min(3000, len(clean)), replace=False)] if clean else []
+    picked = [clean[i] for i in rng.choice(len(clean), size=min(CLEAN_WORDS, len(clean)), replace=False)] if clean else []
+    sentences = Counter(w for bag in bags for w in bag)
+    # chunks of toxic documents' sentences alone, whose labels are found, and the sentences that hold a marked one
+    open_ = sorted(w for w in sentences if not seen[0][w] and w not in marked)
+    known = set(start)
+    bags_marked = [sorted(bag) for bag in bags if not known.isdisjoint(bag)]
+    toxic: set[str] = set(start)
     hard: list[str] = []
     strings = [w[:WINDOW] for w in best + clean_common]
-    for turn in range(4):
+    for turn in range(TURNS):
+        positive = sorted(toxic)
+        gapped = [w[:k] + letters[int(rng.integers(len(letters)))] + w[k:] for w in positive for k in range(1, len(w))]
         marks, whiten = _nystrom(strings)
-        words = positive + gapped + picked + hard
+        words = [w[:WINDOW] for w in positive + gapped] + picked + hard
         x = marks.values(words).astype(np.float64) @ whiten
         sign = np.concatenate([np.ones(len(positive) + len(gapped)), -np.ones(len(picked) + len(hard))])
         cost = np.where(sign > 0, 1.0, 30.0)
-        cost[: len(positive)] = 100.0
+        cost[: len(positive)] = [100.0 * (1 + log(max(1, sentences[w]))) for w in positive]
         w = fit_svm(x, sign, cost)
         beta = np.append(whiten @ w[:-1], w[-1])
-        if turn == 3 or not clean:
+        if turn == TURNS - 1 or not clean:
             break
         scores = marks.decisions(clean, beta[None, :], -2.0)[:, 0]
-        worst = [clean[i] for i in np.argsort(-scores, kind="stable")[:1500] if scores[i] > -1]
+        worst = [clean[i] for i in np.argsort(-scores, kind="stable")[:HARD_WORDS] if scores[i] > -1]
         hard = sorted(set(hard) | set(worst) - set(picked))
         strings = strings[: len(best) + len(clean_common)] + sorted(set(strings[len(best) + len(clean_common) :]) | set([h for h in worst if h not in strings][: HARD_LANDMARKS // 3]))
+        # labels of the next round: above the border and above every clean chunk, or a marked sentence's highest
+        border = max(0.0, float(scores.max()))
+        toxic = {w for w, s in zip(open_, marks.decisions(open_, beta[None, :], -2.0)[:, 0], strict=True) if s > border}
+        own = dict(zip(start, marks.decisions([w[:WINDOW] for w in start], beta[None, :], -2.0)[:, 0].tolist(), strict=True))
+        toxic |= {w for w, s in own.items() if s > 0} | {max(known.intersection(bag), key=lambda w: (own[w], w)) for bag in bags_marked}
     return marks.strings, beta
 
 
@@ -430,15 +473,18 @@ def _nystrom(strings: list[str]) -> tuple[Landmarks, np.ndarray]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE) -> tuple[list, list]:
     """Texts and labels of at most `rows` labelled documents: ids are chosen from the
-    labels by hash, then their texts are looked up, so no text is shuffled."""
+    labels by hash, then their texts are looked up; where an id
+    repeats, its texts of least and greatest hash are taken."""
     known = labels.where(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null")
     chosen = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(rows).collect()
     if not chosen:
         return [], []
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r["id"], r["y"]) for r in chosen], "id long, y int")
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").orderBy("id", F.xxhash64("text")).limit(2 * rows).collect()
-    return [r["text"] for r in found], [r["y"] for r in found]
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "y", F.struct(F.xxhash64("text").alias("h"), "text").alias("t"))
+    ends = found.groupBy("id", "y").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("id").collect()
+    taken = [(t["text"], r["y"]) for r in ends for t in ([r["a"]] if r["a"] == r["b"] else [r["a"], r["b"]])]
+    return [t for t, _ in taken], [y for _, y in taken]
 
 
 def score_docs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
