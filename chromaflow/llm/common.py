@@ -96,13 +96,15 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 8, weight: Column | None = None) -> DataFrame:
     """Null-safe join to a right side that has one row a key.  A right side
     counted at BROADCAST_ROWS or less is broadcast; a larger one is replicated
-    to `salts` salts and shuffled, so no hot key meets in one task."""
+    to `salts` salts and shuffled, so no hot key meets in one task.  Rows that
+    hold lists count as their `weight`."""
     r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     on = [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys]
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    rows = right.limit(BROADCAST_ROWS + 1).count() if weight is None else right.agg(F.coalesce(F.sum(F.greatest(weight, F.lit(1))), F.lit(0))).first()[0]
+    if rows <= BROADCAST_ROWS:
         return left.join(F.broadcast(r), on, how).drop(*[f"__r_{k}" for k in keys])
     left = left.withColumn("__salt", F.pmod(F.xxhash64(*([c for c in left.columns if c not in keys][:2] or keys)), F.lit(salts)).cast("int"))
     r = r.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
