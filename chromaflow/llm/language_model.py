@@ -8,10 +8,12 @@ Unigram counts are exact: each block sends the hashes and training counts of
 its vocabulary to shards by hash, where they are added up and sent back.
 Bigram counts are added up in shards too; those of `min_count` and more are
 quantised by powers of BASE and put into a Bloom filter as the keys (bigram,
-1), ..., (bigram, q) (Talbot and Osborne, ACL 2007).  The filter takes
-BITS_A_KEY bits a key; where that would pass `max_filter_mb`, the least count
-rises, so what is broadcast is bounded.  A count is read by probing for level
-after level until one is missing.
+1), ..., (bigram, q) (Talbot and Osborne, ACL 2007), BITS_A_KEY bits a key, a
+range of bits for each shard.  A count is read by probing for level after
+level until one is missing.  A filter of at most `max_filter_mb` is broadcast.
+A larger one stays in its shards: blocks send the bigrams they hold to them
+and get the levels back.  The bits are the same, so scores do not depend on
+the way.
 
 P(w|v) = alpha * c(vw) / c(v) + (1 - kappa) * (c(w) + 1) / (N + V + 1).
 kappa is, for contexts of about v's frequency, the share of training tokens
@@ -275,10 +277,10 @@ def build_range(grams: np.ndarray, levels: np.ndarray, size: int) -> bytes:
 
 
 class Filter:
-    """The whole filter: `size` bits for each shard, after one another."""
+    """The shards' bits from shard `first` on: `size` bits for each, after one another."""
 
-    def __init__(self, bits: np.ndarray, shards: int, size: int, least: float):
-        self.bits, self.shards, self.size, self.least = bits, shards, size, least
+    def __init__(self, bits: np.ndarray, shards: int, size: int, least: float, first: int = 0):
+        self.bits, self.shards, self.size, self.least, self.first = bits, shards, size, least, first
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The level read for each gram: probes go on until one misses."""
@@ -289,7 +291,7 @@ class Filter:
         while len(alive) and level < LEVELS:
             level += 1
             own = grams[alive]
-            start = gram_shard(own, self.shards) * np.uint64(self.size)
+            start = (gram_shard(own, self.shards) - np.uint64(self.first)) * np.uint64(self.size)
             hit = np.arange(len(alive))
             for at in places(own, level, self.size):
                 at = at[hit] + start[hit]
@@ -302,45 +304,77 @@ class Filter:
         return out
 
 
-def build_filter(counted: DataFrame, shards: int, min_count: int, max_mb: int) -> tuple[Filter, np.ndarray, np.ndarray]:
-    """The filter, and kappa and alpha by class of the context.  What comes to
-    the driver is at most max_mb and a fixed number of sums for each shard."""
+def smoothing(counted: DataFrame, shards: int, min_count: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Bits of a shard, and kappa and alpha by class of the context.  What comes
+    to the driver is a fixed number of sums for each shard."""
     tokens, by = np.zeros(BUCKETS), np.zeros((BUCKETS, LEVELS), dtype=np.int64)
-    keys = np.zeros(shards, dtype=np.int64)
-    for r in counted.select("shard", "tokens", "by").toLocalIterator():
+    most = 0
+    for r in counted.select("tokens", "by").toLocalIterator():
         own = np.frombuffer(r["by"], dtype=np.int64).reshape(BUCKETS, LEVELS)
         tokens, by = tokens + np.frombuffer(r["tokens"]), by + own
-        keys[r["shard"]] = (own.sum(axis=0) * np.arange(LEVELS)).sum()
-    base = 1
-    levels = by.sum(axis=0)
-    while (levels[base:] * np.arange(1, LEVELS - base + 1)).sum() * BITS_A_KEY > max_mb << 23:
-        base += 1  # the filter would pass its bound: the least count rises a level
-    least = float(value_of(np.array([base]), min_count)[0])
-    share = (levels[base:] * np.arange(1, LEVELS - base + 1)).sum() / max(1, keys.sum())
-    size = -(-int(keys.max(initial=0) * share * BITS_A_KEY) // 8) * 8
-    kept_levels = np.arange(LEVELS) >= base
-    value = np.where(kept_levels, value_of(np.arange(LEVELS), min_count), 0.0)
-    alone = np.where(value - 1 >= least, value - 1, 0.0)
+        most = max(most, int((own.sum(axis=0) * np.arange(LEVELS)).sum()))
+    value = value_of(np.arange(LEVELS), min_count)
+    alone = np.where(value - 1 >= min_count, value - 1, 0.0)
     safe = np.maximum(tokens, 1.0)
     kappa = np.minimum(by @ alone / safe, 0.99)
     kept = by @ value / safe
     alpha = np.where(kept > 0, kappa / np.maximum(kept, 1e-12), 0.0)
-    if not size:
-        return Filter(np.zeros(0, dtype=np.uint8), shards, 0, least), kappa, alpha
+    return -(-most * BITS_A_KEY // 8) * 8, kappa, alpha
+
+
+def shard_bits(packed: bytes, size: int, min_count: int) -> bytes:
+    """The bits of a shard from its bigrams and counts."""
+    if not packed:
+        return bytes(size // 8)
+    p = unpack(packed)
+    return build_range(_grams(p), level_of(p["n"].astype(np.int64), min_count), size)
+
+
+def whole_filter(counted: DataFrame, shards: int, size: int, min_count: int) -> Filter:
+    """The filter on the driver; the caller has checked its size."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for packed in b.column(1).to_pylist():
-                p = unpack(packed) if packed else {"first": np.zeros(0, np.uint64), "gaps": np.zeros(0, np.uint64), "n": np.zeros(0, np.int64)}
-                out.append(build_range(_grams(p), level_of(p["n"].astype(np.int64), least), size))
+            out = [shard_bits(packed, size, min_count) for packed in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["shard", "bits"])
 
     bits = np.zeros(shards * size // 8, dtype=np.uint8)
-    for r in counted.select("shard", "grams").mapInArrow(fill, "shard int, bits binary").toLocalIterator():
-        at = r["shard"] * size // 8
-        bits[at : at + size // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return Filter(bits, shards, size, least), kappa, alpha
+    if size:
+        for r in counted.select("shard", "grams").mapInArrow(fill, "shard int, bits binary").toLocalIterator():
+            at = r["shard"] * size // 8
+            bits[at : at + size // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return Filter(bits, shards, size, min_count)
+
+
+def levels_in_shards(full: DataFrame, counted: DataFrame, shards: int, size: int, min_count: int) -> DataFrame:
+    """`(block, shard, levels)`: levels of a block's distinct bigrams, ascending, read in the shards that hold their bits."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            trim()
+            for number, packed, raw in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                t = unpack(packed)
+                one = np.unique(bigrams(t["flat"].astype(np.int64), t["sizes"].astype(np.int64), np.frombuffer(raw, dtype=np.uint64))[0])
+                starts = np.searchsorted(gram_shard(one, shards), np.arange(shards + 1))
+                parts = [(s, pack(**_ascending(one[a:z]))) for s, (a, z) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)) if z > a]
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([number] * len(parts), pa.int64()), pa.array([p for _, p in parts], pa.binary())], names=["shard", "block", "grams"])
+
+    def probe(rows: pd.DataFrame) -> pd.DataFrame:
+        trim()
+        shard, asked = int(rows["shard"].iloc[0]), rows[rows["block"] >= 0]
+        held = rows.loc[rows["block"] < 0, "grams"]
+        bits = np.frombuffer(shard_bits(held.iloc[0] if len(held) else b"", size, min_count), dtype=np.uint8)
+        own = Filter(bits, shards, size, min_count, shard)
+        return pd.DataFrame({"block": asked["block"].to_numpy(), "shard": asked["shard"].to_numpy(), "levels": [pack(c=own.levels(_grams(unpack(p))).astype(np.uint8)) for p in asked["grams"]]})
+
+    sent = full.select("block", "texts", "hashes").mapInArrow(send, "shard int, block long, grams binary")
+    both = sent.unionByName(counted.select("shard", F.lit(-1).cast("long").alias("block"), "grams"))
+    return both.groupBy("shard").applyInPandas(probe, "block long, shard int, levels binary")
+
+
+def by_block(parts: DataFrame, column: str) -> DataFrame:
+    """The shards' answers to each block, in the order of the shards."""
+    return parts.groupBy(F.col("block").alias("_b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", column))), lambda p: p[column]).alias(column))
 
 
 OUT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -358,28 +392,36 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     unigrams = Durable(count_unigrams(blocks.read(), shards))
     distinct = unigrams.read().agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     # the shards' counts go back to their blocks
-    lists = unigrams.read().groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("parts")).withColumnRenamed("block", "_b")
-    met = blocks.read().select("block", "texts", "hashes").join(lists.hint("shuffle_hash"), F.col("block") == F.col("_b")).select("texts", "hashes", F.transform("parts", lambda p: p["counts"]).alias("parts"))
-
+    lists = by_block(unigrams.read(), "counts")
+    met = blocks.read().select("block", "texts", "hashes").join(lists.hint("shuffle_hash"), F.col("block") == F.col("_b")).select("block", "texts", "hashes", F.col("counts").alias("parts"))
     full = Durable(met)
     blocks.drop()
     unigrams.drop()
     ranges = max(2 * partitions, int(train) // (2 * SHARD_ENTRIES))
     counted = Durable(count_bigrams(full.read(), shards, ranges, min_count))
-    model = spark.sparkContext.broadcast(build_filter(counted.read(), ranges, min_count, max_filter_mb))
+    size, kappa, alpha = smoothing(counted.read(), ranges, min_count)
+    scored = full.read()
+    if ranges * size <= max_filter_mb << 23:
+        scored = scored.withColumn("levels", F.lit(None).cast("array<binary>"))
+        whole = spark.sparkContext.broadcast(whole_filter(counted.read(), ranges, size, min_count))
+    else:
+        read = Durable(levels_in_shards(full.read(), counted.read(), ranges, size, min_count))
+        scored = scored.join(by_block(read.read(), "levels"), F.col("block") == F.col("_b"))
+        whole = None
     counted.drop()
     below = float(train + distinct + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, kappa, alpha = model.value
         for b in batches:
             trim()
-            for packed, raw, counts in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            for packed, raw, counts, found in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 t, hashes = unpack(packed), np.frombuffer(raw, dtype=np.uint64)
                 total = totals(hashes, counts, shards).astype(np.float64)
                 sizes, flat = t["sizes"].astype(np.int64), t["flat"]
                 ends = np.cumsum(sizes)
                 one = (total + 1) / below
+                if found is not None:
+                    levels = np.concatenate([unpack(p)["c"] for p in found])[np.unique(bigrams(flat.astype(np.int64), sizes, hashes)[0], return_inverse=True)[1]]
                 # a part of a block at a time: whole texts, about PART_TOKENS tokens
                 edges = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(PART_TOKENS, int(ends[-1]), PART_TOKENS)) + 1, [len(sizes)]]))
                 for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -388,7 +430,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                     grams, before = bigrams(own, size, hashes)
                     context, base = total[before], one[own]
                     kind = bucket_of(context)
-                    seen = np.minimum(value_of(held.levels(grams), held.least), context)
+                    level = whole.value.levels(grams) if found is None else levels[ends[a] - sizes[a] : ends[z - 1]].astype(np.int64)
+                    seen = np.minimum(value_of(level, min_count), context)
                     p = np.where(context > 0, alpha[kind] * seen / np.maximum(context, 1) + (1 - kappa[kind]) * base, base)
                     columns = [
                         pa.array(t["ids"][a:z], mask=t["null"][a:z]),
@@ -400,7 +443,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in OUT.split(", ")])
 
-    return full.read().mapInArrow(score, OUT)
+    return scored.select("texts", "hashes", "parts", "levels").mapInArrow(score, OUT)
 
 
 def op2_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

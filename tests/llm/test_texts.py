@@ -135,13 +135,16 @@ def test_filter_reads_counts_back():
     assert (held.levels(fresh) > 0).mean() < 0.02
 
 
-def test_a_bounded_filter_raises_the_least_count(spark):
-    texts = [" ".join(f"w{(k * j) % 97}" for j in range(200)) for k in range(60)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    wide = language_model.score_texts(df, F.lit(True)).toPandas()
-    narrow = language_model.score_texts(df, F.lit(True), max_filter_mb=0).toPandas()
-    assert wide["score"].sum() > narrow["score"].sum()
-    assert np.allclose(narrow["score"], narrow["base_score"])
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_scores_are_equal_for_any_bound_of_the_filter(spark, min_count):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(200)) for _ in range(60)] + [None, "", "w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    learn = F.col("doc_id") % 7 != 2
+    broadcast = language_model.score_texts(df, learn, min_count=min_count).toPandas().sort_values("doc_id")
+    sharded = language_model.score_texts(df, learn, min_count=min_count, max_filter_mb=0).toPandas().sort_values("doc_id")
+    assert (broadcast["score"].to_numpy() == sharded["score"].to_numpy()).all()
+    assert broadcast["score"].sum() > broadcast["base_score"].sum()
 
 
 def test_learning_from_nothing(spark):
