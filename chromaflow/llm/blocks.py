@@ -65,6 +65,10 @@ def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("bucket", "
         yield table, np.append(cut(table), table.num_rows)
 
 
+#: Nodes a forest holds before its edges are sent on.
+FOREST_NODES = 500_000
+
+
 class Forest:
     """Union-find over node numbers; gives a spanning forest, so that a dense
     group of n sends n-1 links on and not all of its pairs."""
@@ -87,6 +91,15 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
             self.up.setdefault(min(a, b), min(a, b))
 
+    def flush(self, least: int = 0) -> Iterator[np.ndarray]:
+        """The edges in arrays (n, 2), after which the forest is empty; none while it holds at most `least` nodes."""
+        if len(self.up) <= least:
+            return
+        pairs = list(self.edges())
+        self.up = {}
+        for at in range(0, len(pairs), 50_000):
+            yield np.array(pairs[at : at + 50_000], dtype=np.int64).reshape(-1, 2)
+
     def edges(self) -> Iterator[tuple[int, int]]:
         for x in self.up:
             if (root := self.find(x)) != x:

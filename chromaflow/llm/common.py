@@ -24,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a fresh local one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir; a fresh local one only where it is unset in local mode (tests)."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chromaflow-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -96,6 +98,24 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def first_rows(docs: DataFrame, first: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` named by `first(doc_id, h)`, h being xxhash64 of the text, and those without an id.
+
+    rows(doc_id, h, ...): all rows with an id.  Only where a row that stays repeats
+    as a whole, its copies meet, so that one of them stays."""
+    again = rows.groupBy("doc_id", "h").count().where("count > 1")
+    repeats = first.join(again, ["doc_id", "h"], "left").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), (F.coalesce("count", F.lit(1)) > 1).alias("__again"))
+    wanted = Durable(repeats)
+    named = docs.where(F.col(id_col).cast("long").isNotNull())
+    on = [named[id_col].cast("long") == F.col("__id"), F.xxhash64(named[text_col]) == F.col("__h")]
+    once = named.join(wanted.read().where("not __again"), on, "left_semi")
+    nameless = docs.where(F.col(id_col).cast("long").isNull())
+    if wanted.read().where("__again").isEmpty():
+        return once.unionByName(nameless)
+    many = named.join(wanted.read().where("__again"), on, "left_semi").withColumn("__h", F.xxhash64(text_col)).dropDuplicates([id_col, "__h"]).drop("__h")
+    return once.unionByName(many).unionByName(nameless)
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 8, weight: Column | None = None) -> DataFrame:
     """Null-safe join to a right side that has one row a key.  A right side
     counted at BROADCAST_ROWS or less is broadcast; a larger one is replicated

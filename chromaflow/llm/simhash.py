@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Forest, deal, grouped, labels, runs
-from .common import Durable, map_arrow, salted_join, table
+from .blocks import FOREST_NODES, Forest, deal, grouped, labels, runs
+from .common import Durable, first_rows, map_arrow, salted_join, table
 from .components import components
 
 SHINGLE, SEED, MAX_DISTANCE = 4, 42, 4
@@ -56,10 +56,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     starts = ends - sizes + 1
     n = len(words) - shingle + 1
     hashes = np.fromiter([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64, count=n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     total = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 8192):
+    for at in range(0, len(hashes), 8192):
         total += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -140,10 +145,13 @@ def _edges(starts_per_table: int, max_distance: int):
                 root = labels(adjacent)
                 for i in np.flatnonzero(root != np.arange(b - a)).tolist():
                     forest.join(int(fps[a + i]), int(fps[a + root[i]]))
-        pairs = list(forest.edges())
-        for at in range(0, len(pairs), 50_000):
-            part = np.array(pairs[at : at + 50_000], dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+            for part in forest.flush(FOREST_NODES):
+                yield pairs(part)
+        for part in forest.flush():
+            yield pairs(part)
+
+    def pairs(part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
 
     return run
 
@@ -167,19 +175,22 @@ def link_edges(distinct: DataFrame, count: int, max_distance: int = MAX_DISTANCE
     return dealt.mapInArrow(_edges(len(chains(depth)), max_distance), "a long, b long")
 
 
-def classes(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """`fps(doc_id, fp)` to `(doc_id, fp, component_id)`."""
+def rooted(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """`fps(doc_id, fp)` to `(fp, least, n, root)`, a row a fingerprint: its least id, its rows and its class."""
     spark = fps.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     distinct = Durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     count = distinct.read().count()
     edges = Durable(link_edges(distinct.read().select("fp"), count, max_distance))
     comps = components(edges.read()).withColumnsRenamed({"node": "fp", "component": "root"})
-    nodes = distinct.read()
-    rooted = nodes.join(comps, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    linked = Durable(rooted)
-    least = linked.read().groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
-    mapped = Durable(linked.read().join(least, "root").select("fp", "component_id"))
+    return Durable(distinct.read().join(comps, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))).read()
+
+
+def classes(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """`fps(doc_id, fp)` to `(doc_id, fp, component_id)`."""
+    linked = rooted(fps, max_distance)
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
+    mapped = Durable(linked.join(least, "root").select("fp", "component_id"))
     out = salted_join(fps, mapped.read(), ["fp"], "left")
     return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -191,16 +202,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows with the least id of their class, columns unchanged; rows without an id stay.
-    Where an id repeats, one of its rows stays."""
-    found = Durable(near_duplicates(docs, id_col, text_col, **options))
-    named = found.read().where("doc_id is not null")
-    repeats = named.count() > named.select("doc_id").distinct().count()
-    kept = named.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__kept")
-    stays = docs.join(kept.hint("shuffle_hash"), docs[id_col].cast("long") == kept["__kept"], "left_semi")
-    if repeats:
-        stays = stays.dropDuplicates([id_col])
-    return stays.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each class, columns unchanged: that with the least id, then the
+    least hash of its text.  Rows without an id stay."""
+    shingle, seed = options.get("shingle", SHINGLE), options.get("seed", SEED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t, shingle, seed) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "h", "fp"])
+
+    named = docs.where(F.col(id_col).cast("long").isNotNull())
+    rows = Durable(map_arrow(named.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col)), run, "doc_id long, h long, fp long"))
+    roots = rooted(rows.read().select("doc_id", "fp"), options.get("max_distance", MAX_DISTANCE)).select("fp", "root")
+    found = Durable(salted_join(rows.read(), roots, ["fp"]).groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("first.*"))
+    return first_rows(docs, found.read(), rows.read(), id_col, text_col)
 
 
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,20 @@
-"""Near copies by the Jaccard similarity of word shingles.
-
-A text is the set of the XXH64 values of its runs of SHINGLE words.  Texts
-that agree in a band of ROWS of BANDS * ROWS minimum hashes are candidates
-(a pair of similarity 0.8 is missed with a chance of 0.0003, one of 0.9 with
-less than 1e-7); the sets of candidates are compared exactly, and pairs of
-`least` and more link.  Equal texts (but for case and white space) are one
-node, so copies are never paired; bands with the same members are compared
-once, large ones in blocks.
+"""Near copies for the corpus: SimHash links, and the similarity that 64 bits cannot tell.
+
+A text is the XXH64 values of its runs of SHINGLE words.  Two texts link if
+their SimHash fingerprints differ in at most 4 bits, found by pigeonring
+filtering (`simhash.link_edges`), or if the Jaccard similarity of their sets of
+values is `least` or more.  At a similarity of 0.8 fingerprints differ in about
+ten bits of 64, where no chain of equal segments is left to filter by, so the
+second rule has candidates of its own: texts that agree in a band of ROWS of
+BANDS * ROWS minimum values (a pair of similarity 0.8 is missed with a chance
+of 0.0003, one of 0.9 with less than 1e-7), whose sets are compared exactly.
+Equal texts (but for case and white space) are one node, so copies are never
+paired; bands with the same members are compared once, large ones in blocks.
 
 Defined results: null and empty texts are copies of each other; rows without
-an id stay and link nothing; where an id repeats, one of its rows stays; an
-empty table gives an empty result; other columns are ignored.
+an id stay and link nothing; of a group the row with the least id stays, then
+the least hash of its text; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Forest, deal, grouped, runs
-from .common import BROADCAST_ROWS, Durable, map_arrow
+from .blocks import FOREST_NODES, Forest, deal, grouped, runs
+from .common import BROADCAST_ROWS, Durable, first_rows, map_arrow
 from .components import components
+from .simhash import link_edges, majority
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 BANDS, ROWS = 16, 4
@@ -47,12 +52,17 @@ def node_of(words: list[bytes]) -> int:
     return xxh64_intdigest(b" ".join(words), SEED)
 
 
-def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct values, in order; a shorter text is one shingle."""
+def values_of(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """The values of all runs of words; a shorter text is one run."""
     from xxhash import xxh64_intdigest
 
     n = max(1, len(words) - shingle + 1)
-    return np.unique(np.fromiter([xxh64_intdigest(b" ".join(words[k : k + shingle]), SEED) for k in range(n)], dtype=np.uint64, count=n))
+    return np.fromiter([xxh64_intdigest(b" ".join(words[k : k + shingle]), SEED) for k in range(n)], dtype=np.uint64, count=n)
+
+
+def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct values, in order."""
+    return np.unique(values_of(words, shingle))
 
 
 def bands(values: np.ndarray) -> np.ndarray:
@@ -94,10 +104,12 @@ def linked(sets: list[np.ndarray], least: float = LEAST) -> Iterator[tuple[int,
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [words_of(t) for t in b.column(1).to_pylist()]
+        texts = [words_of(t) for t in b.column(2).to_pylist()]
         nodes = np.array([node_of(w) for w in texts], dtype=np.uint64).view(np.int64)
-        keys = pa.array([bands(shingles(w)).tolist() for w in texts], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes), keys], names=["doc_id", "node", "bands"])
+        values = [values_of(w) for w in texts]
+        fps = np.array([majority(v) if w else 0 for w, v in zip(texts, values, strict=True)], dtype=np.uint64).view(np.int64)
+        keys = pa.array([bands(v).tolist() for v in values], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array(fps), keys], names=["doc_id", "h", "node", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +128,13 @@ def _links(least: float):
                 sets = [np.frombuffer(v, np.uint64) for v in held.slice(a, b - a).to_pylist()]
                 for i, j in linked(sets, least):
                     forest.join(nodes[a + i], nodes[a + j])
-        pairs = np.array(list(forest.edges()), dtype=np.int64).reshape(-1, 2)
-        for at in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, 0]), pa.array(pairs[at : at + 50_000, 1])], names=["a", "b"])
+            for part in forest.flush(FOREST_NODES):
+                yield pairs(part)
+        for part in forest.flush():
+            yield pairs(part)
+
+    def pairs(part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
 
     return run
 
@@ -133,7 +149,7 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     members = Durable(rows.join(once, rows["bucket"] == once["__bucket"]).select("bucket", "node", "first"))
     first = members.read().select(F.col("first").alias("__first")).distinct()
     few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    wanted = docs.join(first.hint("broadcast" if few else "shuffle_hash"), docs[id_col].cast("long") == first["__first"], "left_semi")
+    wanted = docs.join(F.broadcast(first) if few else first, docs[id_col].cast("long") == first["__first"], "left_semi")
     sets = Durable(map_arrow(wanted.select(F.col(text_col)), _sets, "node long, held binary"))
     dealt = deal(members.read().select("bucket", "node"), "node", BLOCK)
     held = sets.read().dropDuplicates(["node"]).withColumnRenamed("node", "__node")
@@ -141,16 +157,25 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     return grouped(full, int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_links(least), "a long, b long")
 
 
+def simhash_links(nodes: DataFrame) -> DataFrame:
+    """`nodes(node, fp)` to `(a, b)`: every node whose fingerprint others have or link to
+    is tied to it, and linked fingerprints to each other; a fingerprint is a node by its hash."""
+    fps = Durable(nodes.groupBy("fp").agg(F.count("*").alias("n")))
+    near = Durable(link_edges(fps.read().select("fp"), fps.read().count()))
+    met = near.read().select(F.col("a").alias("__fp")).unionByName(near.read().select(F.col("b").alias("__fp"))).unionByName(fps.read().where("n > 1").select(F.col("fp").alias("__fp"))).distinct()
+    tied = nodes.join(met, nodes["fp"] == met["__fp"], "left_semi").select(F.col("node").alias("a"), F.xxhash64("fp", F.lit(SEED)).alias("b"))
+    return tied.unionByName(near.read().select(F.xxhash64("a", F.lit(SEED)).alias("a"), F.xxhash64("b", F.lit(SEED)).alias("b")))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows with the least id of their group, columns unchanged."""
+    """One row of each group, columns unchanged."""
     named = docs.where(F.col(id_col).cast("long").isNotNull())
-    rows = Durable(map_arrow(named.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), _nodes, "doc_id long, node long, bands array<long>"))
-    nodes = Durable(rows.read().groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")))
-    edges = Durable(links(named, nodes.read(), id_col, text_col, least))
+    picked = named.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col))
+    rows = Durable(map_arrow(picked, _nodes, "doc_id long, h long, node long, fp long, bands array<long>"))
+    nodes = Durable(rows.read().groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    near = Durable(simhash_links(nodes.read().select("node", "fp")))
+    edges = Durable(links(named, nodes.read().drop("fp", "row"), id_col, text_col, least).unionByName(near.read()))
     comps = components(edges.read()).withColumnsRenamed({"node": "__node", "component": "__root"})
-    held = nodes.read().select("node", "first")
-    kept = held.join(comps, held["node"] == comps["__node"], "left").groupBy(F.coalesce("__root", "node").alias("root")).agg(F.min("first").alias("__kept")).select("__kept").distinct()
-    stays = named.join(kept.hint("shuffle_hash"), named[id_col].cast("long") == kept["__kept"], "left_semi")
-    if rows.read().count() > rows.read().select("doc_id").distinct().count():
-        stays = stays.dropDuplicates([id_col])
-    return stays.unionByName(docs.where(F.col(id_col).cast("long").isNull()))
+    held = nodes.read().select("node", "row")
+    first = held.join(comps, held["node"] == comps["__node"], "left").groupBy(F.coalesce("__root", "node").alias("root")).agg(F.min("row").alias("row")).select("row.*")
+    return first_rows(docs, Durable(first).read(), rows.read().select("doc_id", "h"), id_col, text_col)

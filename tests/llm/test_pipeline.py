@@ -4,7 +4,7 @@ import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from chromaflow.llm import common, queries, secrets, simhash  # noqa: E402
+from chromaflow.llm import common, queries, secrets  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 
@@ -22,28 +22,20 @@ def test_columns_stay(stages):
 
 
 def test_toxic_documents_go_and_clean_ones_stay(spark, stages):
-    bad = ["idiot", "moron", "worthless", "pathetic", "clown", "trash", "disgusting", "stupid", "scum", "loser"]
-    has = stages[0].withColumn("bad", F.lower("text").rlike(r"\b(" + "|".join(bad) + r")\b"))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     kept = stages[1].select("doc_id")
-    assert has.where("not bad").join(kept, "doc_id", "left_anti").count() == 0
-    gone = has.where("bad").count()
-    assert gone > 3 and has.where("bad").join(kept, "doc_id").count() <= 0.2 * gone
+    toxic, clean = (stages[0].join(labels.where(F.col("toxic") == k), "doc_id") for k in (1, 0))
+    assert clean.join(kept, "doc_id", "left_anti").count() == 0
+    by = {r["lang"]: r["gone"] for r in toxic.join(kept.withColumn("__kept", F.lit(1)), "doc_id", "left").groupBy("lang").agg(F.avg(F.col("__kept").isNull().cast("int")).alias("gone")).collect()}
+    # of the other languages there are fifteen toxic labels here, too few to learn from
+    assert by["en"] >= 0.8
 
 
 def test_one_of_each_group_stays(stages):
-    rows = [(r["doc_id"], simhash.fingerprint(r["text"])) for r in stages[1].collect()]
-    up = {i: i for i, _ in rows}
-
-    def find(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for a, x in rows:
-        for b, y in rows:
-            if a < b and (x ^ y).bit_count() <= 4:
-                up[max(find(a), find(b))] = min(find(a), find(b))
-    assert {r["doc_id"] for r in stages[2].collect()} == {find(i) for i, _ in rows}
+    from test_similar import kept_by_all_pairs
+
+    rows = [(r["doc_id"], r["text"]) for r in stages[1].collect()]
+    assert {r["doc_id"] for r in stages[2].collect()} == kept_by_all_pairs(rows)
 
 
 def test_secrets_are_gone_and_the_rest_is_untouched(stages):

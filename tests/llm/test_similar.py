@@ -1,15 +1,17 @@
-"""Near copies by shingle similarity against all pairs."""
+"""Near copies by fingerprints and shingle similarity against all pairs."""
 
-import pandas as pd
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
+from chromaflow.llm import simhash  # noqa: E402
+
 
 def kept_by_all_pairs(rows):
-    sets = {}
+    sets, fps = {}, {}
     for i, t in rows:
         w = (t or "").lower().split()
+        fps[i] = simhash.fingerprint(t, 5)
         sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
     ids, up = sorted(sets), {i: i for i in sets}
 
@@ -21,7 +23,7 @@ def kept_by_all_pairs(rows):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             x, y = sets[a], sets[b]
-            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and (both := len(x & y)) >= 0.8 * (len(x) + len(y) - both):
+            if (fps[a] ^ fps[b]).bit_count() <= 4 or min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and (both := len(x & y)) >= 0.8 * (len(x) + len(y) - both):
                 up[max(find(a), find(b))] = min(find(a), find(b))
     return {find(i) for i in ids}
 
@@ -45,5 +47,8 @@ def test_odd_rows_and_blocks(spark, monkeypatch):
     got = similar.keep_first(df).toPandas()["doc_id"]
     assert set(got.dropna().astype(int)) == kept_by_all_pairs([r for r in rows if r[0] is not None]) and got.isna().sum() == 1
     assert similar.keep_first(df.where("doc_id > 999")).count() == 0
-    again = similar.keep_first(spark.createDataFrame([(1, "a b"), (1, "c d")], "doc_id long, text string"))
-    assert pd.Series([r["doc_id"] for r in again.collect()]).tolist() == [1]
+    # an id that repeats: other texts stay, whole copies do not
+    rows = [(1, "a b", 1), (1, "c d", 2), (1, "c d", 3), (2, "c  d", 4)]
+    for keep in (similar.keep_first, simhash.keep_first):
+        again = keep(spark.createDataFrame(rows, "doc_id long, text string, h int"))
+        assert sorted((r["doc_id"], r["text"]) for r in again.collect()) == [(1, "a b"), (1, "c d")] and again.columns == ["doc_id", "text", "h"]
