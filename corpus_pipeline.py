@@ -22,7 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id stays of those linked by a similarity of 0.8 or more in shingles of five words."""
+    """The document with the least id stays of those linked by SimHash fingerprints within four bits
+    or by a similarity of 0.8 or more, both in shingles of five words."""
     return similar.keep_first(docs)
 
 
