@@ -37,11 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, as Spark's own readers see them."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
-        jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(hadoop).delete(target, True)
+        target, files = hadoop_path(spark, path)
+        files.delete(target, True)
     except Exception:  # the session may already be gone
         pass
 

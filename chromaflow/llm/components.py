@@ -31,8 +31,8 @@ def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     while len(u):
         least = np.minimum(root[u], root[v])
         new = root.copy()
-        for side in (root[u], root[v], u, v):  # a tree takes the least its edges offer
-            np.minimum.at(new, side, least)
+        for top in (root[u], root[v]):  # a root moves under the least that its edges offer; they stay until both ends agree
+            np.minimum.at(new, top, least)
         while not np.array_equal(up := new[new], new):
             new = up
         if np.array_equal(new, root):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Forest, deal, grouped, labels, runs
+from .blocks import FOREST_NODES, Forest, deal, grouped, labels, runs
 from .common import Durable, salted_join, table
 from .components import components
 
@@ -114,13 +114,18 @@ def _compare(dim: int, tables: int, threshold: float):
                 at = np.flatnonzero(found)
                 ids.append(cls[a:b][at])
                 links.append(found[at].astype(np.int64))
-        if ids:
-            one, at = np.unique(np.concatenate(ids), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate(links)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(one), dtype=np.int32)), pa.array(one), pa.array(total)], names=["kind", "a", "b"])
-        pairs = np.array(list(forest.edges()), dtype=np.int64).reshape(-1, 2)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(pairs), dtype=np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["kind", "a", "b"])
+            if ids:
+                one, at = np.unique(np.concatenate(ids), return_inverse=True)
+                total = np.bincount(at, weights=np.concatenate(links)).astype(np.int64)
+                yield rows(0, one, total)
+                ids, links = [], []
+            for pairs in forest.flush(FOREST_NODES):
+                yield rows(1, pairs[:, 0], pairs[:, 1])
+        for pairs in forest.flush():
+            yield rows(1, pairs[:, 0], pairs[:, 1])
+
+    def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
 
     return run
 
@@ -133,18 +138,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     # adding 0.0 makes -0.0 and 0.0 one value
     valid = rows.where(good & F.col("vec_id").isNotNull()).withColumn("v", F.transform("v", lambda e: e + 0.0))
-    # a class is a set of equal vectors; a digest of the vector is grouped, not the vector
+    # a class is a set of equal vectors, numbered by a hash of the vector's digest: an id may have several
     keyed = valid.withColumn("key", F.sha2(F.array_join(F.transform("v", lambda e: F.hex(e.cast("string"))), ","), 256))
     ids = Durable(keyed.select("vec_id", F.col("key")))
-    classes = ids.read().groupBy("key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"))
-    first = Durable(keyed.select("vec_id", "v", F.col("key").alias("k")).join(classes.withColumnRenamed("key", "c"), (F.col("k") == F.col("c")) & (F.col("vec_id") == F.col("cls"))).select("cls", "copies", "v").dropDuplicates(["cls"]))
+    classes = ids.read().groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("cls", F.xxhash64("key"))
+    first = Durable(keyed.select("vec_id", "v", F.col("key").alias("k")).join(classes.withColumnRenamed("key", "c"), (F.col("k") == F.col("c")) & (F.col("vec_id") == F.col("least"))).select("cls", "copies", "v").dropDuplicates(["cls"]))
     dims = [r[0] for r in first.read().select(F.size("v")).distinct().collect()]
     found = None
     for dim in dims:
         own = first.read().where(F.size("v") == dim)
         n = own.count()
         share = min(1.0, 1.2 * sample_rows / max(n, 1))
-        picked = own.where(F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v").limit(sample_rows).toPandas()
+        picked = own.where(F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy(F.xxhash64("cls"), "cls").select("v").limit(sample_rows).toPandas()
         if picked.empty:
             continue
         fitted = spark.sparkContext.broadcast(fit_cells(unit(np.stack(picked["v"].to_numpy())), n, tables, cell))
@@ -166,8 +171,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     found = Durable(found)
     links = found.read().where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     comps = components(found.read().where("kind = 1").select("a", "b"))
-    classed = classes.where("copies > 1").select("cls", "copies").join(links.withColumnRenamed("a", "cls"), "cls", "full").join(comps.withColumnRenamed("node", "cls"), "cls", "full")
-    per_class = Durable(classes.select("key", "cls").join(classed, "cls").select("key", (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id")))
+    members = Durable(classes.select("cls", "least").join(comps.withColumnRenamed("node", "cls"), "cls"))
+    leasts = members.read().groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = members.read().join(leasts, "component").select("cls", "component_id")
+    classed = classes.join(links.withColumnRenamed("a", "cls"), "cls", "left").join(linked, "cls", "left").where("copies > 1 or links > 0 or component_id is not null")
+    per_class = Durable(classed.select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")))
     linked = salted_join(ids.read(), per_class.read(), ["key"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     rest = rows.where(~F.coalesce(good & F.col("vec_id").isNotNull(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -185,5 +185,9 @@ def pack(
     return out if with_ids else out.drop("ids")
 
 
+#: Of the query: most pieces of a sequence, so that one of very short texts stays a few documents.
+QUERY_SEGMENTS = 16
+
+
 def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return pack(table(spark, sf_dir, "documents"), max_segments=QUERY_SEGMENTS, with_ids=False)

@@ -6,6 +6,10 @@ A scan addresses all rows, keeps the pairs that the ledger lacks, scans one
 row of each such blob, adds the spans to the ledger, and joins them back to
 all paths (rows) that hold the blob.
 
+The ledger is a folder in the shared one: a folder for each rule version and in
+it one for each scan, which counts once Spark has marked it as complete, so a
+scan that breaks off leaves nothing behind that is read.
+
 Defined results: a null text is the empty blob; an empty text has no span;
 rows that repeat get the same spans; an id may be null; an empty table gives
 an empty result; other columns are ignored.  Offsets are code points, the end
@@ -16,13 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Durable, map_arrow, salted_join, table
+from .common import Durable, hadoop_path, map_arrow, salted_join, shared_dir, table
 
 RULE_VERSION = "2024.1"
 #: Order of the kinds where two spans start at one place: the base rules, then the further ones.
@@ -79,39 +84,41 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     return map_arrow(blobs.select("blob", "text"), run, FOUND)
 
 
+def ledger_folder(spark: SparkSession) -> str:
+    """The ledger that scans share unless they name another."""
+    return f"{shared_dir(spark)}/chromaflow-secret-ledger"
+
+
+def known(spark: SparkSession, ledger_path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """`(blob, spans)` of the complete scans under a rule version, a row a blob."""
+    target, files = hadoop_path(spark, f"{ledger_path}/rules={rule_version}")
+    scans = [str(s.getPath()) for s in files.listStatus(target)] if files.exists(target) else []
+    done = [s for s in scans if files.exists(hadoop_path(spark, f"{s}/_SUCCESS")[0])]
+    if not done:
+        return spark.createDataFrame([], FOUND)
+    # two scans at a time may both have added a blob
+    return spark.read.schema(FOUND).parquet(*done).dropDuplicates(["blob"])
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger_path: str | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """One row per input row: the id, blob and spans.  With `ledger_path` (a
-    Parquet folder) earlier findings are used and new ones are added to it.
+    """One row per input row: the id, blob and spans.  Findings of earlier scans
+    in the ledger are used and new ones are added to it.
 
     Only ids and digests are grouped; a text moves at most once, keyed by its
     own id, to meet the decision whether its row stands for an unseen blob.
     When those are few, as in a later run, Spark broadcasts them instead."""
     spark = docs.sparkSession
+    ledger_path = ledger_path or ledger_folder(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     addressed = rows.withColumn("blob", F.unhex(F.sha2("text", 256)))
     paths = Durable(addressed.select("path", "blob")).read()
-    unseen = paths.groupBy("blob").agg(F.min("path").alias("rep"))
-    ledger = None
-    if ledger_path is not None:
-        try:
-            ledger = spark.read.parquet(ledger_path).where(F.col("rule_version") == rule_version).select("blob", "spans")
-        except Exception as e:  # the first run has no ledger yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        if ledger is not None:
-            unseen = unseen.join(ledger.select("blob"), "blob", "left_anti")
-    reps = unseen.select(F.col("rep"), F.col("blob").alias("rep_blob")).hint("shuffle_hash") if ledger is None else unseen.select(F.col("rep"), F.col("blob").alias("rep_blob"))
+    unseen = paths.groupBy("blob").agg(F.min("path").alias("rep")).join(known(spark, ledger_path, rule_version).select("blob"), "blob", "left_anti")
+    reps = unseen.select(F.col("rep"), F.col("blob").alias("rep_blob"))
     todo = addressed.join(reps, addressed["path"].eqNullSafe(reps["rep"]) & (addressed["blob"] == reps["rep_blob"]), "left_semi")
     # rows that repeat an id with its text stand for one blob together
-    found = Durable(scan_blobs(todo).dropDuplicates(["blob"]))
-    fresh = found.read()
-    if ledger_path is not None:
-        fresh.withColumn("rule_version", F.lit(rule_version)).write.mode("append").parquet(ledger_path)
-        all_found = fresh if ledger is None else fresh.unionByName(ledger)
-    else:
-        all_found = fresh
+    scan_blobs(todo).dropDuplicates(["blob"]).write.parquet(f"{ledger_path}/rules={rule_version}/scan={uuid.uuid4().hex}")
     # most blobs have no span: only those that have one travel to the join
-    some = all_found.where(F.col("spans") != "").dropDuplicates(["blob"]).withColumnRenamed("blob", "found_blob")
+    some = known(spark, ledger_path, rule_version).where(F.col("spans") != "").withColumnRenamed("blob", "found_blob")
     return paths.join(some, paths["blob"] == some["found_blob"], "left").select("path", "blob", F.coalesce("spans", F.lit("")).alias("spans"))
 
 

@@ -152,3 +152,19 @@ def test_likeness_orders_edits():
     big = a * 700  # longer than a counting step
     counts = digest.digest(big)
     assert counts == digest.digest(big) and len(counts) == len(x)
+
+
+def test_an_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in neardup_vectors.near_vectors(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_in_one_task_equal_those_of_stars(spark, seed):
+    rng = np.random.default_rng(seed)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(5, 1000 + k) for k in range(60)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    one, stars = ({(r["node"], r["component"]) for r in components(edges, in_task=n).collect()} for n in (10_000, 0))
+    assert one == stars

@@ -108,3 +108,14 @@ def test_mixing_nothing(spark):
     assert mixing.plan_mix(df).count() == 0 and mixing.mix(df).count() == 0
     blank = spark.createDataFrame([(1, None, None), (None, "", "a")], "doc_id long, text string, source string")
     assert {r["taken"] for r in mixing.plan_mix(blank).collect()} == {0}
+
+
+@pytest.mark.parametrize("limits", [{"max_tokens": 64}, {"max_segments": 2}, {"max_loss": 50}])
+def test_each_limit_binds_alone(spark, limits):
+    rows = [(i, "word " * (5 + i % 40), "ask " * (3 + i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ask string")
+    got = packing.pack(df, prompt_col="ask", **limits).toPandas().groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "size"), loss=("loss_tokens", "sum"))
+    free = packing.pack(df, prompt_col="ask").toPandas().groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "size"), loss=("loss_tokens", "sum"))
+    ((name, most),) = limits.items()
+    column = name.removeprefix("max_")
+    assert got[column].max() <= most < free[column].max() and got["tokens"].sum() == free["tokens"].sum()

@@ -237,6 +237,25 @@ def test_ledger_scans_only_unseen_blobs(spark, tmp_path):
     assert secrets.scan(df.where("doc_id > 99")).count() == 0
 
 
+def test_the_query_scans_a_blob_once(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(secrets, "ledger_folder", lambda spark: str(tmp_path / "ledger"))
+    first = secrets.op9_secret_ledger(spark, sf).toPandas()
+    scans = list((tmp_path / "ledger" / f"rules={secrets.RULE_VERSION}").iterdir())
+    blobs = secrets.known(spark, str(tmp_path / "ledger")).count()
+    assert len(scans) == 1 and blobs > 100
+    # what a scan that broke off has left is not read
+    broken = scans[0].parent / "scan=broken"
+    spark.range(3).selectExpr("cast(id as binary) as blob", "'hex:0:1' as spans").write.parquet(str(broken))
+    (broken / "_SUCCESS").unlink()
+    again = secrets.op9_secret_ledger(spark, sf).toPandas()
+    assert again.sort_values("doc_id").to_numpy().tolist() == first.sort_values("doc_id").to_numpy().tolist()
+    new = [s for s in scans[0].parent.iterdir() if s not in (scans[0], broken)]
+    assert len(new) == 1 and spark.read.parquet(str(new[0])).count() == 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    secrets.redact(docs).count()
+    assert secrets.known(spark, str(tmp_path / "ledger")).count() == blobs
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r for r in secrets.redact(df).collect()}
