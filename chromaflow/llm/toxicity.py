@@ -34,6 +34,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -65,6 +66,8 @@ FLOOR = -1.0
 #: Chunks longer than this are scored in windows of this length, half overlapping.
 WINDOW = 24
 CACHE_CHUNKS = 200_000
+#: Strings scored at a time.
+PART = 20_000
 
 # The alphabet of the kernel, and signs read as the letters they look like.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789äöüßáàâçéèêíñóú"
@@ -194,8 +197,9 @@ class Landmarks:
         out = np.zeros((len(strings), len(self.strings)), dtype=np.float32)
         for rows, key, w in self._keys(strings):
             norm = _norms(key, w)
-            for at in range(0, len(rows), 64):
-                out[rows[at : at + 64]] = np.matmul(w, self.table[key[at : at + 64]]) / norm[at : at + 64, None]
+            step = max(1, 16_000 // len(w))
+            for at in range(0, len(rows), step):
+                out[rows[at : at + step]] = np.matmul(w, self.table[key[at : at + step]]) / norm[at : at + step, None]
         return out
 
     def fold(self, beta: np.ndarray) -> np.ndarray:
@@ -206,6 +210,8 @@ class Landmarks:
         """max(floor, values @ beta[:-1] + beta[-1]), a column for each row of weights.  Norms are
         found only where a value could be above the floor."""
         folded = self.fold(beta) if folded is None else folded
+        if len(strings) > PART:
+            return np.concatenate([self.decisions(strings[at : at + PART], beta, floor, folded) for at in range(0, len(strings), PART)])
         bias = beta[:, -1]
         out = np.tile(np.maximum(floor, bias), (len(strings), 1))
         for rows, key, w in self._keys(strings):
@@ -298,11 +304,11 @@ class Model:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Highest sentence margin and log counts of toxic sentences, weak and all chunks, a row a text."""
-        found = [chunks_of(t) for t in texts]
         out = np.empty((len(texts), 4))
-        for at in range(0, len(found), 64):
-            self.learn(set().union(*found[at : at + 64]))
-            for i, f in enumerate(found[at : at + 64], at):
+        for at in range(0, len(texts), 64):
+            found = [chunks_of(t) for t in texts[at : at + 64]]
+            self.learn(set().union(*found))
+            for i, f in enumerate(found, at):
                 scores = [self.cache[c] for c in f]
                 top = max((s for s, _ in scores), default=FLOOR)
                 sure = {c for c in f if self.cache[c][0] > 0} if top > 0 else set()
@@ -338,17 +344,25 @@ def marking(texts: list[str | None], toxic: list[int]) -> tuple[dict[str, tuple[
     (1 first) and whether they are sure, and the documents that hold each word, by label."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     held: tuple[Counter, Counter] = (Counter(), Counter())
-    for t, label in zip(texts, toxic, strict=True):
+    hashes: tuple[list, list] = ([], [])  # of all stems: how many are how common needs no strings
+    # toxic texts first: clean ones need counts of their stems only
+    for t, label in sorted(zip(texts, toxic, strict=True), key=lambda r: -r[1]):
         words = {n for c in chunks_of(t) if len(n := normal(c)) >= P}
         seen[label].update(words)
-        held[label].update({s for w in words for s in stems_of(w)})
+        stems = {s for w in words for s in stems_of(w)}
+        held[label].update(stems if label else stems & held[1].keys())
+        hashes[label].append(np.fromiter(map(hash, stems), dtype=np.int64, count=len(stems)))
     n1, n0 = sum(y == 1 for y in toxic), sum(y == 0 for y in toxic)
     # so unevenly spread that of those found among the words or stems that stand in
     # as many documents, chance would give less than a share of FALSE_FINDS
     found = {}
-    for of in (seen, held):
-        share = sum(of[1].values()) / max(1, sum(of[1].values()) + sum(of[0].values()))
-        spread = Counter((of[0] + of[1]).values())
+    common = np.unique(np.concatenate(hashes[0] + hashes[1]), return_counts=True)[1]
+    sizes = [sum(map(len, h)) for h in hashes]
+    del hashes
+    shares = (sum(seen[1].values()) / max(1, sum(seen[1].values()) + sum(seen[0].values())), sizes[1] / max(1, sum(sizes)))
+    spreads = (Counter((seen[0] + seen[1]).values()), dict(enumerate(np.bincount(common).tolist())))
+    for of, share, spread in zip((seen, held), shares, spreads, strict=True):
+        classes = sum(v > 0 for v in spread.values())
         tried: dict[int, list[tuple[float, str]]] = {}
         for w, k in of[1].items():
             other = of[0][w]
@@ -361,7 +375,7 @@ def marking(texts: list[str | None], toxic: list[int]) -> tuple[dict[str, tuple[
                 rate[k] = min(rate[k], rate[k + 1])
             for r, (chance, w) in zip(rate, ones, strict=True):
                 if r < FALSE_FINDS:
-                    sure = held[0][w] <= SURE * held[1][w] and r * len(spread) < FALSE_FINDS
+                    sure = held[0][w] <= SURE * held[1][w] and r * classes < FALSE_FINDS
                     found[w] = held[1][w], held[0][w], sure
     return found, seen
 
@@ -375,8 +389,8 @@ def _likelihood(k: int, other: int, n1: int, n0: int) -> float:
 def _filed(words: Iterable[str], found: dict, n1: int, n0: int) -> dict[str, str]:
     """The words that have a stem in `found`, each with its likeliest."""
     rank = {s: (_likelihood(*v[:2], n1, n0), len(s)) for s, v in found.items()}
-    held = {w: [s for s in stems_of(w) if s in rank] for w in words}
-    return {w: max(stems, key=rank.__getitem__) for w, stems in held.items() if stems}
+    held = ((w, [s for s in stems_of(w) if s in rank]) for w in words)
+    return {w: max(stems, key=rank.__getitem__) for w, stems in held if stems}
 
 
 def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
@@ -402,6 +416,7 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
     marked = kinds[0].keys() | kinds[1].keys()
     bags = [{n for c in chunks_of(s) if P <= len(n := normal(c)) <= WINDOW} for t, label in zip(texts, toxic, strict=True) if label == 1 for s in sentences_of(t)]
     machines = [_machine(list(words), marked, bags, seen, found, rng) for words in kinds]
+    del seen, bags, of, own
     strings = list(dict.fromkeys(s for marks, _ in machines for s in marks))
     beta = np.zeros((2, len(strings) + 1))
     at = {s: i for i, s in enumerate(strings)}
@@ -438,9 +453,11 @@ def _machine(start: list[str], marked: set[str], bags: list[set[str]], seen: tup
     toxic: set[str] = set(start)
     hard: list[str] = []
     strings = [w[:WINDOW] for w in best + clean_common]
+    marks = None
     for turn in range(TURNS):
         positive = sorted(toxic)
         gapped = [w[:k] + letters[int(rng.integers(len(letters)))] + w[k:] for w in positive for k in range(1, len(w))]
+        marks = None  # its table is large
         marks, whiten = _nystrom(strings)
         words = [w[:WINDOW] for w in positive + gapped] + picked + hard
         x = marks.values(words).astype(np.float64) @ whiten
@@ -471,22 +488,40 @@ def _nystrom(strings: list[str]) -> tuple[Landmarks, np.ndarray]:
     return marks, vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE) -> tuple[list, list]:
-    """Texts and labels of at most `rows` labelled documents: ids are chosen from the
-    labels by hash, then their texts are looked up; where an id
-    repeats, its texts of least and greatest hash are taken."""
+def _sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
+    """`(id, y, a, b)`: texts of least and greatest hash of at most `rows` labelled ids.
+
+    Ids are chosen from the labels by hash, then their texts are looked up."""
     known = labels.where(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null")
     chosen = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(rows).collect()
-    if not chosen:
-        return [], []
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(r["id"], r["y"]) for r in chosen], "id long, y int")
+    ids = docs.sparkSession.createDataFrame([(r["id"], r["y"]) for r in chosen], "id long, y int")
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "y", F.struct(F.xxhash64("text").alias("h"), "text").alias("t"))
-    ends = found.groupBy("id", "y").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("id").collect()
-    taken = [(t["text"], r["y"]) for r in ends for t in ([r["a"]] if r["a"] == r["b"] else [r["a"], r["b"]])]
+    return found.groupBy("id", "y").agg(F.min("t").alias("a"), F.max("t").alias("b")).select("id", "y", "a.text", F.when(F.col("a.h") != F.col("b.h"), F.struct("b.text")).alias("other"))
+
+
+def _pairs(rows: Iterable[tuple]) -> tuple[list, list]:
+    taken = [(t, y) for _, y, text, other in rows for t in ([text] if other is None else [text, other["text"]])]
     return [t for t, _ in taken], [y for _, y in taken]
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE) -> tuple[list, list]:
+    """Texts and labels of at most `rows` labelled documents; where an id
+    repeats, its texts of least and greatest hash are taken."""
+    return _pairs(_sample(docs, labels, usable, id_col, text_col, label_col, rows).orderBy("id").collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE) -> Model:
+    """The model of `labelled_sample`, trained in one task: only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)), key=lambda r: r[0])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(*_pairs(held)))], pa.binary())], names=["model"])
+
+    sample = _sample(docs, labels, usable, id_col, text_col, label_col, rows).repartition(1)
+    found = map_arrow(sample, run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([], [])
+
+
 def score_docs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, score)` for every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -519,6 +554,6 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", border: fl
 
 def op1_string_kernel_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = train(*labelled_sample(docs, labels, crc("doc_id") % 5 != 0))
+    model = fit(docs, labels, crc("doc_id") % 5 != 0)
     out = score_docs(docs, model)
     return out.select("doc_id", (crc("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
