@@ -17,7 +17,7 @@ from chromaflow.llm.common import Durable, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
     labels = table(spark, sf_dir, "labels")
-    model = toxicity.train(*toxicity.labelled_sample(docs, labels, F.lit(True)))
+    model = toxicity.fit(docs, labels, F.lit(True))
     return toxicity.keep_clean(docs, model)
 
 
