@@ -1,8 +1,10 @@
 """Variable-width LZW as images use it, lossless and lossy.
 
-A stream is first a list of codes with their widths; NumPy packs the bits in
-one go.  The dictionary is a trie of Python dicts.  Parallelism is by frame,
-in `chromaflow.operators.gif`.
+A stream is first a list of codes; NumPy packs the bits in one go.  Lossless
+matches walk one flat dictionary keyed by (code, symbol), and the width of a
+code follows from its place since the last clear.  The lossy search needs the
+children of a node, so its dictionary is a trie.  Parallelism is by frame, in
+`chromaflow.operators.gif`.
 """
 
 from __future__ import annotations
@@ -62,25 +64,64 @@ class Codes:
             if self.next == 1 << self.width and self.width < MAX_WIDTH:
                 self.width += 1
         self.put(self.clear + 1)
-        values, widths = np.array(self.values, dtype=np.uint32), np.array(self.widths)
-        bits = (values[:, None] >> np.arange(MAX_WIDTH + 1, dtype=np.uint32)) & 1
-        return np.packbits(bits[np.arange(MAX_WIDTH + 1) < widths[:, None]].astype(np.uint8), bitorder="little").tobytes()
+        return pack(np.array(self.values, dtype=np.uint16), np.array(self.widths, dtype=np.uint8))
+
+
+def pack(values: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of at most MAX_WIDTH bits, one after the other from the lowest bit."""
+    bits = np.unpackbits(values.astype("<u2")[:, None].view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16) < widths[:, None]], bitorder="little").tobytes()
+
+
+def place_widths(values: np.ndarray, min_bits: int) -> np.ndarray:
+    """Widths of a lossless stream: the k-th code after a clear (which takes the width of
+    its own place) is read when the newest entry is clear + 1 + k, or the last one."""
+    clear = 1 << min_bits
+    cleared = np.flatnonzero(values == clear)
+    since = np.arange(len(values)) - np.repeat(cleared + 1, np.diff(np.append(cleared, len(values))))
+    # a clear itself belongs to the codes before it; the first has the least width
+    since[cleared] = np.diff(cleared, prepend=-1) - 1
+    newest = np.minimum(clear + 1 + since, MAX_CODES - 1)
+    return np.searchsorted(1 << np.arange(MAX_WIDTH), newest, side="right").astype(np.uint8)
 
 
 def encode(data: bytes, min_bits: int) -> bytes:
     """Greedy longest matches."""
-    out = Codes(min_bits)
-    if not data:
-        return out.finish(None)
-    start, size = 0, len(data)
-    while True:
-        node, at = data[start], start + 1
-        while at < size and (found := out.children.get(node, {}).get(data[at])) is not None:
-            node, at = found, at + 1
-        if at == size:
-            return out.finish(node)
-        out.matched(node, at - start, data[at], size - at)
-        start = at
+    clear = 1 << min_bits
+    codes = [clear]
+    if data:
+        put, short, left = codes.append, (SHORT << SCALE) // min_bits, len(data)
+        half = 1 << (DECAY - 1)
+        symbols = iter(data)
+        node = next(symbols)
+        table: dict[int, int] = {}
+        find = table.get
+        lengths = [1] * MAX_CODES
+        entry, mean = clear + 2, 1 << SCALE
+        for symbol in symbols:
+            key = node << 8 | symbol
+            found = find(key)
+            if found is not None:
+                node = found
+                continue
+            put(node)
+            length = lengths[node]
+            left -= length
+            gap = (length << SCALE) + half - mean
+            mean += gap >> DECAY if gap >= 0 else -(-gap >> DECAY)
+            if entry < MAX_CODES:
+                table[key] = entry
+                lengths[entry] = length + 1
+                entry += 1
+            elif mean < short or mean < left * PER_PIXEL:
+                put(clear)
+                table.clear()
+                entry, mean = clear + 2, 1 << SCALE
+            node = symbol
+        put(node)
+    codes.append(clear + 1)
+    values = np.array(codes, dtype=np.uint16)
+    return pack(values, place_widths(values, min_bits))
 
 
 class Lossy:
