@@ -228,7 +228,19 @@ def _(spark, d):
     return nearest.map_colors(hist.with_key(B.line_colors(spark, d)), lut).groupBy("idx").agg(F.count("*").alias("n"))
 
 
-@query("nearest_color_oklab")
+def lut_sql(name: str, source: str) -> str:
+    """CTEs that give the palette index nearest in OkLab of every colour of `source`, as name(r, g, b, idx)."""
+    lab = OKLAB.replace("FROM split)", f"FROM {name}_c)").replace("lin AS", f"{name}_lin AS").replace("FROM lin)", f"FROM {name}_lin)")
+    lab = lab.replace("lms AS", f"{name}_lms AS").replace("FROM lms)", f"FROM {name}_lms)").replace("lab AS", f"{name}_lab AS")
+    gap = " + ".join(f"(c.{k} - p.{k}) * (c.{k} - p.{k})" for k in ("ll", "la", "lb2"))
+    return f"""{name}_c AS (SELECT DISTINCT r, g, b FROM {source}), {lab}, {name} AS (SELECT r, g, b, idx FROM (
+  SELECT c.r, c.g, c.b, p.idx, row_number() OVER (PARTITION BY c.r, c.g, c.b ORDER BY {gap}, p.idx) AS k FROM {name}_lab c, lab p) WHERE k = 1)"""
+
+
+PALETTE_LAB = f"{PALETTE_SQL}, {OKLAB.replace(' FROM split)', ' FROM palette)')}"
+
+
+@query("nearest_color_oklab", f"WITH {LINES}, {PALETTE_LAB}, {lut_sql('lut', 'split')} SELECT s.rgb, l.idx::INT AS idx FROM split s JOIN lut l USING (r, g, b)")
 def _(spark, d):
     return nearest.build_lut(B.line_histogram(spark, d), palette_np())
 
@@ -538,6 +550,34 @@ def _(spark, d):
     return spark.createDataFrame([(i, *(int(v) for v in c)) for i, c in enumerate(colors)], "idx int, r int, g int, b int")
 
 
+TRANS = len(PALETTE)
+HEX = f"SELECT frame, string_agg(printf('%02X', (CASE WHEN a < 128 THEN {TRANS} ELSE idx END)::INT), '' ORDER BY y, x) AS idx FROM {{0}} GROUP BY frame"
+#: Pixels with their nearest colour and its channels nr, ng, nb.
+PLAIN = f"""{EVENTS}, {PALETTE_LAB}, {lut_sql('near_lut', 'px')},
+plain AS (SELECT px.* EXCLUDE (idx), l.idx, p.r AS nr, p.g AS ng, p.b AS nb FROM px JOIN near_lut l ON l.r = px.r AND l.g = px.g AND l.b = px.b JOIN palette p ON p.idx = l.idx)"""
+SHIFTED = f"""shifted AS (SELECT e.* EXCLUDE (r, g, b), {CLAMP.format('e.r + (v >> 2) - 8')} AS r, {CLAMP.format('e.g + (v >> 2) - 8')} AS g, {CLAMP.format('e.b + (v >> 2) - 8')} AS b,
+  e.r = nr AND e.g = ng AND e.b = nb AS same FROM plain e JOIN bayer ON nth = (y % 8) * 8 + x % 8), {lut_sql('shift_lut', 'shifted')},
+dithered AS (SELECT s.frame, s.y, s.x, s.a, CASE WHEN same THEN s.idx ELSE l.idx END AS idx FROM shifted s JOIN shift_lut l ON l.r = s.r AND l.g = s.g AND l.b = s.b)"""
+BLUE = "blue(y, x, v) AS (VALUES " + ", ".join(f"({y}, {x}, {int(C.blue_noise()[y, x])})" for y in range(B.SIDE) for x in range(B.SIDE)) + ")"
+#: The ordered choice between the nearest and the far colour; {0} is the dither strength of a pixel.
+CHOSEN = f"""mirrored AS (SELECT frame, y, x, a, idx, nr, ng, nb, act, r - nr AS er, g - ng AS eg, b - nb AS eb, {CLAMP.format('r + 2 * (r - nr)')} AS r, {CLAMP.format('g + 2 * (g - ng)')} AS g, {CLAMP.format('b + 2 * (b - nb)')} AS b FROM acts),
+{lut_sql('far_lut', 'mirrored')},
+away AS (SELECT m.*, l.idx AS far, p.r - nr AS sr, p.g - ng AS sg, p.b - nb AS sb FROM mirrored m JOIN far_lut l ON l.r = m.r AND l.g = m.g AND l.b = m.b JOIN palette p ON p.idx = l.idx),
+dithered AS (SELECT frame, y, x, a, CASE WHEN (er <> 0 OR eg <> 0 OR eb <> 0) AND v * (sr * sr + sg * sg + sb * sb)::BIGINT < greatest(0, er * sr + eg * sg + eb * sb)::BIGINT * {{0}} THEN far ELSE idx END AS idx
+  FROM away JOIN blue USING (y, x) {{1}})"""
+STRENGTH = "greatest(0, least(256, (16 + 64 - act) * 4))"
+PLAIN_ACT = ACT.replace("FROM px WINDOW", "FROM plain WINDOW")
+#: Frames are one tile here: dithered where more than a fiftieth of its pixels lie on a border that can show.
+LIVE = f"""{LONG.replace('FROM px)', 'FROM plain)').replace('>= 2 AS', '>= 8 AS')},
+bands AS (SELECT p.idx AS i, q.idx AS j FROM lab p, lab q WHERE sqrt((p.ll - q.ll) * (p.ll - q.ll) + (p.la - q.la) * (p.la - q.la) + (p.lb2 - q.lb2) * (p.lb2 - q.lb2)) >= 0.012 AND sqrt((p.ll - q.ll) * (p.ll - q.ll) + (p.la - q.la) * (p.la - q.la) + (p.lb2 - q.lb2) * (p.lb2 - q.lb2)) < 0.05),
+sides AS (SELECT *, lag(idx) OVER h AS li, lag(long_run) OVER h AS lr, lag(idx) OVER v AS ui, lag(long_run) OVER v AS ur FROM runs WINDOW h AS (PARTITION BY frame, y ORDER BY x), v AS (PARTITION BY frame, x ORDER BY y)),
+live AS (SELECT frame, sum(CASE WHEN long_run AND lr AND (idx, li) IN (SELECT (i, j) FROM bands) THEN 1 ELSE 0 END + CASE WHEN long_run AND ur AND (idx, ui) IN (SELECT (i, j) FROM bands) THEN 1 ELSE 0 END) * 50 > count(*) AS live FROM sides GROUP BY frame)"""
+SQL["quantize_plain"] = f"WITH {PLAIN} {HEX.format('plain')}"
+SQL["quantize_bayer"] = f"WITH {PLAIN}, {BAYER}, {SHIFTED} {HEX.format('dithered')}"
+SQL["quantize_bluenoise"] = f"WITH {PLAIN}, {BLUE}, {PLAIN_ACT}, {CHOSEN.format(STRENGTH, '')} {HEX.format('dithered')}"
+SQL["quantize_auto"] = f"WITH {PLAIN}, {BLUE}, {PLAIN_ACT}, {LIVE}, {CHOSEN.format(f'(CASE WHEN live THEN {STRENGTH} ELSE 0 END)', 'JOIN live USING (frame)')} {HEX.format('dithered')}"
+
+
 def _indexes(mode: str):
     def run(spark, d):
         frames = _frames(spark, d)
