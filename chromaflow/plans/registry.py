@@ -578,6 +578,35 @@ SQL["quantize_bluenoise"] = f"WITH {PLAIN}, {BLUE}, {PLAIN_ACT}, {CHOSEN.format(
 SQL["quantize_auto"] = f"WITH {PLAIN}, {BLUE}, {PLAIN_ACT}, {LIVE}, {CHOSEN.format(f'(CASE WHEN live THEN {STRENGTH} ELSE 0 END)', 'JOIN live USING (frame)')} {HEX.format('dithered')}"
 
 
+def _sierra_sql() -> str:
+    """Error diffusion as a recursion over the 100 positions of every frame: the error carried to
+    the right, and by channel what the row takes from above (up) and hands down (low), with one
+    place of margin on either side."""
+    linear = "list_transform(range(0, 256), lambda v: " + LINEAR.format("v") + ")"
+    labs = f"labs AS (SELECT list({{'l': ll, 'a': la, 'b': lb2, 'cr': r, 'cg': g, 'cb': b}} ORDER BY idx) AS p FROM lab), curve AS (SELECT {linear} AS t)"
+    side, zeros, chans = B.SIDE, "list_transform(range(0, " + str(B.SIDE + 2) + "), lambda i: 0)", "rgb"
+    start = ", ".join(f"0 AS carry_{c}, {zeros} AS up_{c}, {zeros} AS low_{c}" for c in chans)
+    fresh = ", ".join(
+        f"CASE WHEN n.x = 0 THEN 0 ELSE s.carry_{c} END AS c_{c}, CASE WHEN n.x = 0 THEN s.low_{c} ELSE s.up_{c} END AS up_{c}, CASE WHEN n.x = 0 THEN {zeros} ELSE s.low_{c} END AS low_{c}" for c in chans
+    )
+    want = ", ".join(f"greatest(0, least(255, {c} + c_{c} + up_{c}[x + 2])) AS w_{c}" for c in chans)
+    lin = ", ".join(f"t[w_{c} + 1] AS l{c}" for c in chans)
+    lms = ", ".join(f"cbrt({_sum(row, ('lr', 'lg', 'lb'))}) AS c{i}" for i, row in enumerate(C.TO_LMS))
+    lab = ", ".join(f"{_sum(row, ('c0', 'c1', 'c2'))} AS {n}" for n, row in zip(("ll", "la", "lb2"), C.TO_LAB, strict=True))
+    gaps = "list_transform(p, lambda q: (q.l - ll) * (q.l - ll) + (q.a - la) * (q.a - la) + (q.b - lb2) * (q.b - lb2)) AS d"
+    err = ", ".join(f"CASE WHEN a < 128 THEN 0 ELSE w_{c} - p[k].c{c} END AS e_{c}" for c in chans)
+    down = ", ".join(f"trunc(e_{c} / 2)::INT AS carry_{c}, up_{c}, list_transform(low_{c}, lambda v, i: v + CASE WHEN i IN (x + 1, x + 2) THEN trunc(e_{c} / 4)::INT ELSE 0 END) AS low_{c}" for c in chans)
+    return f"""WITH RECURSIVE {EVENTS}, {PALETTE_LAB}, {labs},
+walk AS (SELECT DISTINCT frame, -1 AS pos, 255 AS a, 0 AS idx, {start} FROM px
+UNION ALL SELECT frame, pos, a, k - 1, {down} FROM (SELECT *, {err} FROM (SELECT *, list_position(d, list_min(d)) AS k FROM (SELECT *, {gaps} FROM (SELECT *, {lab} FROM (SELECT *, {lms} FROM (SELECT *, {lin} FROM (SELECT *, {want} FROM (
+  SELECT n.frame, n.pos, n.x, n.r, n.g, n.b, n.a, {fresh}, labs.p, curve.t FROM walk s JOIN px n ON n.frame = s.frame AND n.pos = s.pos + 1, labs, curve))))))))),
+walked AS (SELECT frame, pos // {side} AS y, pos % {side} AS x, a, idx FROM walk WHERE pos >= 0)
+{HEX.format('walked')}"""
+
+
+SQL["sierra_diffusion"] = _sierra_sql()
+
+
 def _indexes(mode: str):
     def run(spark, d):
         frames = _frames(spark, d)
