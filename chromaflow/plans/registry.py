@@ -619,7 +619,17 @@ for _mode, _name in (("none", "quantize_plain"), ("bayer", "quantize_bayer"), ("
     QUERIES[_name] = _fresh(_indexes(_mode))
 
 
-@query("lzw_sizes")
+#: Greedy longest matches of a frame's 100 indexes; so few codes never fill a dictionary, and the
+#: k-th of them has the width of clear + 1 + k.
+LZW_SQL = f"""WITH RECURSIVE {PLAIN}, syms AS (SELECT frame, pos, printf('%02X', (CASE WHEN a < 128 THEN {TRANS} ELSE idx END)::INT) AS s FROM plain),
+walk AS (SELECT frame, pos, s AS word, []::VARCHAR[] AS words, 1 AS codes FROM syms WHERE pos = 0
+UNION ALL SELECT n.frame, n.pos, CASE WHEN list_contains(words, word || s) THEN word || s ELSE s END, CASE WHEN list_contains(words, word || s) THEN words ELSE list_append(words, word || s) END,
+  CASE WHEN list_contains(words, word || s) THEN codes ELSE codes + 1 END FROM walk w JOIN syms n ON n.frame = w.frame AND n.pos = w.pos + 1),
+bits AS (SELECT frame, 5 + list_sum(list_transform(range(0, codes + 1), lambda k: length(bin(17 + k)))) AS bits FROM walk WHERE pos = 99)
+SELECT frame, ((bits + 7) // 8)::BIGINT AS bytes FROM bits"""
+
+
+@query("lzw_sizes", LZW_SQL)
 def _(spark, d):
     def size(batches):
         import pyarrow as pa
