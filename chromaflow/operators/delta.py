@@ -7,11 +7,27 @@ from pyspark.sql import functions as F
 
 #: Largest delay of a frame, in hundredths of a second.
 MAX_DELAY = 65_535
+#: Frames of a position that one window sorts together, and frames of a clip.
+SPAN, FOLD_SPAN = 1024, 4096
+
+
+def before(px: DataFrame, columns: dict[str, str], span: int = SPAN) -> DataFrame:
+    """Adds values of the same position in frame-1 under new names, null where it has none.
+    A position is dealt into spans of frames, so a small raster with many frames is as
+    parallel as a large one; the last frame of a span also opens the next, in the same shuffle."""
+    own = F.floor(F.col("frame") / span).cast("long")
+    both = F.array(F.struct(own.alias("s"), F.lit(False).alias("lead")), F.struct((own + 1).alias("s"), F.lit(True).alias("lead")))
+    dealt = px.withColumn("_at", F.explode(F.when(F.pmod(F.col("frame"), F.lit(span)) == span - 1, both).otherwise(F.slice(both, 1, 1))))
+    dealt = dealt.withColumn("_span", F.col("_at.s")).withColumn("_lead", F.col("_at.lead")).drop("_at")
+    at = Window.partitionBy("y", "x", "_span").orderBy("frame")
+    follows = F.lag("frame").over(at) == F.col("frame") - 1
+    met = dealt.withColumns({new: F.when(follows, F.lag(value).over(at)) for new, value in columns.items()})
+    return met.where(~F.col("_lead")).drop("_span", "_lead")
 
 
 def with_previous(idx_px: DataFrame, value: str = "idx") -> DataFrame:
     """Adds `prev`, the value of the same position in the frame before."""
-    return idx_px.withColumn("prev", F.lag(value).over(Window.partitionBy("y", "x").orderBy("frame")))
+    return before(idx_px, {"prev": value})
 
 
 def changed_box(idx_px: DataFrame) -> DataFrame:
@@ -23,8 +39,7 @@ def changed_box(idx_px: DataFrame) -> DataFrame:
 
 def distances(px: DataFrame) -> DataFrame:
     """L1 distance of every pixel to the frame before, over colour and over all four bytes."""
-    at = Window.partitionBy("y", "x").orderBy("frame")
-    near = px.select("*", *(F.lag(c).over(at).alias(f"_{c}") for c in "rgba")).where("_r is not null")
+    near = before(px, {f"_{c}": c for c in "rgba"}).where("_r is not null")
     gap = {n: sum((F.abs(F.col(c) - F.col(f"_{c}")) for c in n[1:]), F.abs(F.col(n[0]) - F.col(f"_{n[0]}"))) for n in ("rgb", "rgba")}
     return near.select("frame", "y", "x", gap["rgb"].alias("l1_rgb"), gap["rgba"].alias("l1_rgba"))
 
@@ -64,7 +79,14 @@ def frame_delays(frames: DataFrame, fps_num: int, fps_den: int = 1) -> DataFrame
 
 def fold_duplicates(timing: DataFrame) -> DataFrame:
     """timing(frame, delay_cs, visible) to visible frames with the delays of the
-    duplicates that follow them.  The running count is over one row a frame."""
-    group = F.sum(F.col("visible").cast("int")).over(Window.orderBy("frame"))
-    folded = timing.withColumn("_g", group).where("_g > 0").groupBy("_g").agg(F.min("frame").alias("frame"), F.sum("delay_cs").alias("_d"), F.count("*").alias("frames"))
+    duplicates that follow them.  A frame finds the last visible one in its span of
+    frames, or that of the spans before, of which the one global window has a row each."""
+    shown = F.when(F.col("visible"), F.col("frame"))
+    spans = timing.withColumn("_span", F.floor(F.col("frame") / FOLD_SPAN).cast("long"))
+    last = spans.groupBy("_span").agg(F.max(shown).alias("_last"))
+    earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("_span", F.last("_last", ignorenulls=True).over(earlier).alias("_earlier"))
+    own = F.last(shown, ignorenulls=True).over(Window.partitionBy("_span").orderBy("frame"))
+    met = spans.withColumn("_own", own).join(last, "_span").withColumn("_g", F.coalesce("_own", "_earlier")).where("_g is not null")
+    folded = met.groupBy("_g").agg(F.min("frame").alias("frame"), F.sum("delay_cs").alias("_d"), F.count("*").alias("frames"))
     return folded.select("frame", F.least(F.col("_d"), F.lit(MAX_DELAY).cast("long")).alias("delay_cs"), "frames")

@@ -1,7 +1,7 @@
 """Noise filters: spatial smoothing and the temporal hold.
 
 The hold is recursive per pixel, so it folds over the frames of a strip of rows
-in one task; strips are independent.  Its windows depend on unheld frames
+in order, a batch at a time; strips are independent.  Its windows depend on unheld frames
 only, so they are found for all frames first, with ordinary aggregates.
 """
 
@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .delta import before
+
 BINS, LEAST_WINDOW = 256, 4
 FRACTION, RATE = 7, 3
 STRIP_ROWS = 32
@@ -24,9 +25,8 @@ def noise_histogram(px: DataFrame, every: int = 4, chunk: int = 16) -> DataFrame
     """(frame, d, n): how often a pixel of a frame differs by d (capped at 255) in L1 over four
     bytes from the frame before.  The first pair counts all pixels, later ones the first
     of every `every` chunks of `chunk` positions."""
-    at = Window.partitionBy("y", "x").orderBy("frame")
-    d = sum((F.abs(F.col(c) - F.lag(c).over(at)) for c in "gba"), F.abs(F.col("r") - F.lag("r").over(at)))
-    near = px.withColumn("d", F.least(d, F.lit(BINS - 1))).where("d is not null")
+    d = sum((F.abs(F.col(c) - F.col(f"_{c}")) for c in "gba"), F.abs(F.col("r") - F.col("_r")))
+    near = before(px, {f"_{c}": c for c in "rgba"}).where("_r is not null").withColumn("d", F.least(d, F.lit(BINS - 1)))
     sampled = (F.col("frame") == 1) | (F.floor(F.col("pos") / chunk) % every == 0)
     return near.where(sampled).groupBy("frame", "d").agg(F.count("*").alias("n"))
 
@@ -94,29 +94,68 @@ def pair_histograms(frames: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def hold(frames: DataFrame, width: int, height: int, cap: int, strip: int = STRIP_ROWS) -> DataFrame:
-    """frames(frame, data) with pixels that only shimmer kept.  Strips fold in parallel."""
-    windows = {r["frame"]: r["window"] for r in hold_windows(pair_histograms(frames, width, height), cap).collect()}
+    """frames(frame, data) with pixels that only shimmer kept.  Strips fold in parallel; a task
+    reads its strips in order and holds the state of one and a batch of its frames."""
+    windows = hold_windows(pair_histograms(frames, width, height), cap)
     rows = F.sequence(F.lit(0), F.lit((height - 1) // strip))
     size = width * 4 * strip
-    cut = frames.select("frame", F.explode(rows).alias("strip"), "data").select("frame", "strip", F.expr(f"substring(data, strip * {size} + 1, {size})").alias("data"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        state, out = None, []
-        for frame, data in zip(pdf["frame"], pdf["data"], strict=True):
-            now = np.frombuffer(data, np.uint8).reshape(-1, 4)
-            if state is None:
-                state = HoldState(now)
-                out.append(bytes(data))
-            else:
-                out.append(state.step(now, windows.get(frame, LEAST_WINDOW)).tobytes())
-        return pd.DataFrame({"frame": pdf["frame"].to_numpy(), "strip": pdf["strip"].to_numpy(), "data": out})
-
-    held = cut.groupBy("strip").applyInPandas(fold, "frame int, strip int, data binary")
+    met = frames.join(windows, "frame", "left").select(F.col("frame").cast("int").alias("frame"), F.coalesce("window", F.lit(LEAST_WINDOW)).alias("window"), F.explode(rows).alias("strip"), "data")
+    cut = met.select("frame", "strip", "window", F.expr(f"substring(data, strip * {size} + 1, {size})").alias("data"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = None, None
+        for b in batches:
+            out = []
+            for strip, window, data in zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                now = np.frombuffer(data, np.uint8).reshape(-1, 4)
+                if strip != last:
+                    state, last = HoldState(now), strip
+                    out.append(data)
+                else:
+                    out.append(state.step(now, window).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["frame", "strip", "data"])
+
+    held = cut.repartition("strip").sortWithinPartitions("strip", "frame").mapInArrow(fold, "frame int, strip int, data binary")
     whole = held.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("strip", "data"))).alias("s"))
     return whole.select("frame", F.aggregate("s", F.lit(b""), lambda acc, s: F.concat(acc, s["data"])).alias("data"))
 
 
+def hold_px(px: DataFrame, window: int | DataFrame) -> DataFrame:
+    """`hold` in long form, with one window or windows(frame, window).  Positions are dealt
+    over the tasks; a task reads its frames in order and holds a state of each of its
+    positions, which does not grow with the number of frames."""
+    windowed = px.withColumn("window", F.lit(window)) if isinstance(window, int) else px.join(window, "frame", "left").withColumn("window", F.coalesce("window", F.lit(LEAST_WINDOW)))
+    rows = windowed.select("frame", "y", "x", *"rgba", "window").repartition("y", "x").sortWithinPartitions("frame", "y", "x")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, mean = np.zeros(0, np.int64), np.zeros((0, 4), np.int32), np.zeros((0, 4), np.int32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            frame, y, x, *rgba, windows = (b.column(c).to_numpy(zero_copy_only=False) for c in range(8))
+            key, now = y.astype(np.int64) << 32 | x, np.stack(rgba, axis=1).astype(np.int32)
+            fresh, first = np.unique(key, return_index=True)
+            isnew = ~np.isin(fresh, known)
+            if isnew.any():  # a position opens with what it shows first
+                known = np.concatenate([known, fresh[isnew]])
+                order = np.argsort(known)
+                known = known[order]
+                held = np.concatenate([held, now[first[isnew]]])[order]
+                mean = np.concatenate([mean, now[first[isnew]] << FRACTION])[order]
+            at = np.searchsorted(known, key)
+            out = np.empty_like(now)
+            starts = np.flatnonzero(np.diff(frame, prepend=frame[0] - 1))
+            for i, j in zip(starts, np.append(starts[1:], len(frame)), strict=True):
+                own = at[i:j]
+                state = HoldState(held[own])
+                state.mean = mean[own]
+                out[i:j] = state.step(now[i:j], int(windows[i]))
+                held[own], mean[own] = state.held, state.mean
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(np.ascontiguousarray(out[:, k]), pa.int32()) for k in range(4))], names=["frame", "y", "x", *"rgba"])
+
+    return rows.mapInArrow(fold, "frame int, y int, x int, r int, g int, b int, a int")
+
+
 def smooth_np(frame: np.ndarray, limit: int) -> np.ndarray:
     """A frame (h, w, 4): each pixel the rounded mean of its 5x5 neighbours within `limit` in L1 over four bytes; alpha stays."""
     h, w, _ = frame.shape

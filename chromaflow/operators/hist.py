@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromaflow.functions import color as C
 
+from .delta import SPAN
+
 #: Distinct colours beyond which a histogram is folded to the grid before a palette is cut.
 FOLD_ABOVE = 131_072
 #: Longest run of one packed run.
@@ -54,19 +56,23 @@ def frame_histogram(frames: DataFrame, batch: int = 16, clear: bool = False) ->
     return frames.select("data").mapInArrow(count, "rgb int, n long").groupBy("rgb").agg(F.sum("n").alias("n"))
 
 
-def stretches(px: DataFrame) -> DataFrame:
+def stretches(px: DataFrame, within: Column | None = None) -> DataFrame:
     """Maximal runs of frames in which a pixel keeps its colour: (y, x, first, rgb, len).
-    A transparent pixel ends a stretch and has none of its own."""
-    at = Window.partitionBy("y", "x").orderBy("frame")
+    A transparent pixel ends a stretch and has none of its own.  `within`: what a stretch
+    does not cross (by default nothing)."""
+    px = px.withColumn("_within", F.lit(0) if within is None else within)
+    at = Window.partitionBy("y", "x", "_within").orderBy("frame")
     key = F.when(C.opaque(F.col("a")), C.color_key(F.col("r"), F.col("g"), F.col("b")))
     marked = px.withColumn("rgb", key).withColumn("new", (~F.col("rgb").eqNullSafe(F.lag("rgb").over(at)) | (F.row_number().over(at) == 1)).cast("int"))
     island = marked.withColumn("island", F.sum("new").over(at)).where(F.col("rgb").isNotNull())
-    return island.groupBy("y", "x", "island", "rgb").agg(F.min("frame").alias("first"), F.count("*").alias("len")).select("y", "x", "first", "rgb", "len")
+    return island.groupBy("y", "x", "_within", "island", "rgb").agg(F.min("frame").alias("first"), F.count("*").alias("len")).select("y", "x", "first", "rgb", "len")
 
 
 def change_weighted_histogram(px: DataFrame) -> DataFrame:
-    """hist(rgb, n) added up from stretches; equals `color_histogram`."""
-    return stretches(px).groupBy("rgb").agg(F.sum("len").alias("n"))
+    """hist(rgb, n) added up from stretches; equals `color_histogram`.  A stretch may be
+    cut for that, so positions are dealt into spans of frames."""
+    span = F.floor(F.col("frame") / SPAN)
+    return stretches(px, span).groupBy("rgb").agg(F.sum("len").alias("n"))
 
 
 def row_runs(px: DataFrame, packed: int | None = None) -> DataFrame:
@@ -94,6 +100,17 @@ def occupied_cells(hist: DataFrame) -> DataFrame:
     return hist.select(C.grid_key(*C.channels(F.col("rgb"))).alias("cell")).distinct()
 
 
+def sorted_entries(hist: DataFrame) -> DataFrame:
+    """hist(rgb, n) with the `place` of each colour in their order, from 1.  Colours are dealt by
+    their high bits into at most 4096 parts, each numbered from the sizes of those before."""
+    part = F.shiftright("rgb", 12)
+    sizes = hist.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = hist.withColumn("_part", part).withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy("rgb")))
+    placed = own.join(F.broadcast(sizes.select("_part", earlier.alias("_earlier"))), "_part")
+    return placed.select("rgb", "n", (F.col("_earlier") + F.col("_own")).alias("place"))
+
+
 def palette_entries(hist: DataFrame, fold_above: int = FOLD_ABOVE) -> DataFrame:
     """entries(rgb, n) a palette is cut from: exact colours, or cell means where there are
     more than `fold_above`.  At most 262,144 rows either way."""

@@ -134,14 +134,7 @@ def _(spark, d):
 
 @query("sorted_entries", f"WITH {LINES} SELECT rgb, n, row_number() OVER (ORDER BY rgb) AS place FROM hist")
 def _(spark, d):
-    ordered = B.line_histogram(spark, d).orderBy("rgb")
-    # range-sorted parts are numbered from the sizes of the parts before: no single-partition window
-    parts = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.join(F.broadcast(sizes.withColumn("_before", before)), "_p").select("rgb", "n", (F.col("_m") - F.col("_first") + F.col("_before") + 1).alias("place"))
+    return hist.sorted_entries(B.line_histogram(spark, d))
 
 
 @query("any_alpha", f"WITH {EVENTS} SELECT bool_or(a < 128) AS any_alpha FROM px")
@@ -225,7 +218,8 @@ def _(spark, d):
 def _(spark, d):
     h = B.line_histogram(spark, d)
     lut = h.select("rgb", nearest.nearest_rgb(nearest.palette_array(palette_np()), *C.channels(F.col("rgb"))).alias("idx"))
-    return nearest.map_colors(hist.with_key(B.line_colors(spark, d)), lut).groupBy("idx").agg(F.count("*").alias("n"))
+    # colours repeat: the histogram meets the table, not every row
+    return nearest.map_colors(h, lut).groupBy("idx").agg(F.sum("n").alias("n"))
 
 
 def lut_sql(name: str, source: str) -> str:
@@ -436,8 +430,9 @@ def _(spark, d):
 # Filters.
 
 SIGNAL = """ranked AS (SELECT (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS frame, user_id AS x, least(floor(value), 255)::INT AS v FROM events),
-diffs AS (SELECT frame, x, least(3 * abs(v - lag(v) OVER (PARTITION BY x ORDER BY frame)), 255)::INT AS d FROM ranked),
-hist AS (SELECT frame, d, count(*) AS n FROM diffs WHERE d IS NOT NULL AND (frame = 1 OR (x // 16) % 4 = 0) GROUP BY 1, 2)"""
+gaps AS (SELECT frame, x, 3 * abs(v - lag(v) OVER (PARTITION BY x ORDER BY frame)) AS gap FROM ranked),
+diffs AS (SELECT frame, x, least(gap, 255)::INT AS d FROM gaps WHERE gap IS NOT NULL),
+hist AS (SELECT frame, d, count(*) AS n FROM diffs WHERE (frame = 1 OR (x // 16) % 4 = 0) GROUP BY 1, 2)"""
 
 
 @query("noise_histogram", f"WITH {SIGNAL} SELECT * FROM hist")
@@ -468,16 +463,7 @@ SELECT frame, y, x, hr::INT AS r, hg::INT AS g, hb::INT AS b, ha::INT AS a FROM
 
 @query("temporal_hold", HOLD_SQL)
 def _(spark, d):
-    import numpy as np
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "x"])
-        stack = pdf[["r", "g", "b", "a"]].to_numpy(np.int32).reshape(pdf["frame"].nunique(), -1, 4)
-        out = filters.hold_np(stack.astype(np.uint8), [120] * (len(stack) - 1)).reshape(-1, 4).astype(np.int32)
-        return pd.DataFrame({"frame": pdf["frame"].to_numpy(), "y": pdf["y"].to_numpy(), "x": pdf["x"].to_numpy(), **{c: out[:, k] for k, c in enumerate("rgba")}})
-
-    return B.event_raster(spark, d).groupBy("y").applyInPandas(fold, S.PX_SCHEMA)
+    return filters.hold_px(B.event_raster(spark, d), 120)
 
 
 @query("smooth_5x5", f"""WITH {EVENTS}, offsets AS (SELECT a.dy, b.dx FROM range(-2, 3) a(dy), range(-2, 3) b(dx)),
@@ -485,7 +471,7 @@ seen AS (SELECT p.frame, p.y, p.x, p.a, n.r AS nr, n.g AS ng, n.b AS nb FROM px
   WHERE abs(n.r - p.r) + abs(n.g - p.g) + abs(n.b - p.b) + abs(n.a - p.a) < 130 OR (o.dy = 0 AND o.dx = 0))
 SELECT frame, y, x, ((sum(nr) + count(*) // 2) // count(*))::INT AS r, ((sum(ng) + count(*) // 2) // count(*))::INT AS g, ((sum(nb) + count(*) // 2) // count(*))::INT AS b, max(a) AS a FROM seen GROUP BY frame, y, x""")
 def _(spark, d):
-    return filters.smooth_px(B.event_raster(spark, d), 130, B.SIDE, B.SIDE)
+    return S.to_px(filters.smooth(_frames(spark, d), B.SIDE, B.SIDE, 130), B.SIDE, B.SIDE)
 
 
 @query("packed_sizes", f"WITH {EVENTS} SELECT frame, count(*) AS pixels, bool_and(a >= 128) AS opaque, count(*) * CASE WHEN bool_and(a >= 128) THEN 3 ELSE 4 END AS bytes FROM px GROUP BY frame")

@@ -185,3 +185,55 @@ def test_empty_tables(spark):
 def test_delays_over_a_long_clip(spark):
     total = delta.frame_delays(spark.range(30_000).select(F.col("id").cast("int").alias("frame")), 30_000, 1001).agg(F.sum("delay_cs")).first()[0]
     assert total == 100_100
+
+
+def _raster(spark, stack):
+    rows = [(f, y, x, *map(int, stack[f, y, x])) for f, y, x in itertools.product(*(range(n) for n in stack.shape[:3]))]
+    return spark.createDataFrame(rows, "frame int, y int, x int, r int, g int, b int, a int").repartition(5)
+
+
+def test_hold_in_long_and_block_form_against_stacks(spark):
+    rng = np.random.default_rng(8)
+    stack = rng.integers(90, 110, (40, 5, 3, 4)).astype(np.uint8)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # batches end inside frames
+    try:
+        got = filters.hold_px(_raster(spark, stack), 30).orderBy("frame", "y", "x").toPandas()[list("rgba")].to_numpy()
+        assert (got.reshape(stack.shape) == filters.hold_np(stack, [30] * 39)).all()
+        frames = spark.createDataFrame([(f, bytearray(stack[f].tobytes())) for f in range(40)], "frame int, data binary")
+        windows = {r["frame"]: r["window"] for r in filters.hold_windows(filters.pair_histograms(frames, 3, 5), 60).collect()}
+        want = filters.hold_np(stack, [windows.get(f, filters.LEAST_WINDOW) for f in range(1, 40)])
+        for strip in (1, 2, 32):
+            held = {r["frame"]: bytes(r["data"]) for r in filters.hold(frames, 3, 5, 60, strip).collect()}
+            assert [held[f] for f in range(40)] == [f.tobytes() for f in want]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
+def test_noise_histogram_has_no_row_of_the_first_frame(spark):
+    stack = np.random.default_rng(9).integers(0, 256, (4, 2, 2, 4))
+    px = _raster(spark, stack).withColumn("pos", F.col("y") * 2 + F.col("x"))
+    frames = spark.createDataFrame([(f, bytearray(stack[f].astype(np.uint8).tobytes())) for f in range(4)], "frame int, data binary")
+    long, block = (sorted((r["frame"], r["d"], r["n"]) for r in h.collect()) for h in (filters.noise_histogram(px), filters.pair_histograms(frames, 2, 2)))
+    assert long == block and min(r[0] for r in long) == 1
+
+
+@pytest.mark.parametrize("span", (1, 2, 3, 100))
+def test_frame_before_at_any_span(spark, span):
+    rows = [(f, 0, x, f * 10 + x) for f in (0, 1, 2, 3, 5, 6) for x in range(2)]
+    px = spark.createDataFrame(rows, "frame int, y int, x int, idx int")
+    got = sorted((r["frame"], r["x"], r["prev"]) for r in delta.before(px, {"prev": "idx"}, span).collect())
+    assert got == sorted((f, x, None if f in (0, 5) else (f - 1) * 10 + x) for f, _, x, _ in rows)
+
+
+def test_duplicates_fold_across_spans(spark):
+    shown = [f in (2, 3, 4090, 9000) for f in range(13_000)]
+    timing = spark.createDataFrame([(f, 2, s) for f, s in enumerate(shown)], "frame int, delay_cs long, visible boolean")
+    got = sorted(map(tuple, delta.fold_duplicates(timing).collect()))
+    assert got == [(2, 2, 1), (3, 2 * 4087, 4087), (4090, 2 * 4910, 4910), (9000, 8000, 4000)]
+
+
+def test_sorted_entries_number_all_colors(spark):
+    rgb = np.unique(np.random.default_rng(10).integers(0, 1 << 24, 500))
+    df = spark.createDataFrame([(int(v), 1) for v in rgb], "rgb int, n long").repartition(7)
+    assert sorted((r["place"], r["rgb"]) for r in hist.sorted_entries(df).collect()) == list(enumerate(rgb.tolist(), 1))
