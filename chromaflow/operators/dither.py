@@ -19,8 +19,12 @@ from chromaflow.functions import color as C
 from .nearest import band_table
 from .palette import nearest as nearest_index
 
+# Least run, side of a tile, pixels a contour pixel stands for, and the share of tiles above which all are live.
 RUN, TILE, DENSITY, WHOLE_NUM, WHOLE_DEN = 8, 32, 50, 4, 3
+# Fixed value: activity up to which the lossy scale is least.
 SCALE_GATE = 16
+#: Pairs that may be broadcast: those of 256 palette colours.
+MOST_PAIRS = 65_536
 MODES = ("none", "bayer", "bluenoise", "sierra2", "auto")
 
 
@@ -60,11 +64,14 @@ def contours(flagged: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     for name, w in (("left", row), ("up", column)):
         near = near.withColumn(f"_{name}", F.lag("idx").over(w)).withColumn(f"_{name}_run", F.lag("long_run").over(w))
     total = F.lit(0)
+    if pairs is not None:
+        pairs = pairs.where("eligible").select("i", "j")
+        small = pairs.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS
     for name in ("left", "up"):
         border = F.col("long_run") & F.coalesce(F.col(f"_{name}_run"), F.lit(False)) & (F.col("idx") != F.col(f"_{name}"))
         if pairs is not None:
-            own = F.broadcast(pairs.where("eligible").select(F.col("i").alias(f"_i_{name}"), F.col("j").alias(f"_j_{name}")))
-            near = near.join(own, (F.col("idx") == F.col(f"_i_{name}")) & (F.col(f"_{name}") == F.col(f"_j_{name}")), "left")
+            own = pairs.select(F.col("i").alias(f"_i_{name}"), F.col("j").alias(f"_j_{name}"))
+            near = near.join(F.broadcast(own) if small else own, (F.col("idx") == F.col(f"_i_{name}")) & (F.col(f"_{name}") == F.col(f"_j_{name}")), "left")
             border = border & F.col(f"_i_{name}").isNotNull()
         total = total + border.cast("int")
     return near.withColumn("contours", total).select(*flagged.columns, "contours")
@@ -93,7 +100,7 @@ def bayer_offset(y: Column, x: Column) -> Column:
 class ColorTable:
     """Colour to palette index and back, filled for the colours that come up.
 
-    Answers are kept in a table over all 2^24 colours, 16 MiB a worker."""
+    Answers are kept in a table over all 2^24 colours, 32 MiB a running task."""
 
     def __init__(self, palette: np.ndarray):
         self.palette = np.asarray(palette, dtype=np.uint8)

@@ -17,9 +17,9 @@ from chromaflow.functions.color import oklab_np
 
 #: Colours that a lookup table may have to be broadcast: 16 bytes each.
 BROADCAST_COLORS = 1_000_000
-#: OkLab distances between palette colours whose border can show as a band.
+# OkLab distances between palette colours whose border can show as a band.
 BAND_LOW, BAND_HIGH = 0.012, 0.05
-#: Colours that may stand for one, and the squared RGB distance a lossy level allows, as 40 times it.
+# Colours that may stand for one, and the squared RGB distance a lossy level allows, as 40 times it.
 FAN_OUT, RADIUS = 16, 40
 
 
