@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import FOREST_NODES, Forest, deal, grouped, runs
-from .common import BROADCAST_ROWS, Durable, first_rows, map_arrow
+from .common import Durable, first_rows, map_arrow, scratch, sieve
 from .components import components
 from .simhash import link_edges, majority
 
@@ -147,9 +147,9 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     same = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)) % (1 << 40)).alias("s")).where("n > 1")
     once = same.groupBy("n", "x", "s").agg(F.min("bucket").alias("__bucket"))
     members = Durable(rows.join(once, rows["bucket"] == once["__bucket"]).select("bucket", "node", "first"))
-    first = members.read().select(F.col("first").alias("__first")).distinct()
-    few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    wanted = docs.join(F.broadcast(first) if few else first, docs[id_col].cast("long") == first["__first"], "left_semi")
+    first = members.read().select(F.xxhash64("first").alias("key")).distinct()
+    # texts that pass by chance have no member to meet
+    wanted = docs.where(sieve(first, first.count())(F.xxhash64(docs[id_col].cast("long"))))
     sets = Durable(map_arrow(wanted.select(F.col(text_col)), _sets, "node long, held binary"))
     dealt = deal(members.read().select("bucket", "node"), "node", BLOCK)
     held = sets.read().dropDuplicates(["node"]).withColumnRenamed("node", "__node")
@@ -171,11 +171,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of each group, columns unchanged."""
     named = docs.where(F.col(id_col).cast("long").isNotNull())
     picked = named.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col))
-    rows = Durable(map_arrow(picked, _nodes, "doc_id long, h long, node long, fp long, bands array<long>"))
-    nodes = Durable(rows.read().groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    near = Durable(simhash_links(nodes.read().select("node", "fp")))
-    edges = Durable(links(named, nodes.read().drop("fp", "row"), id_col, text_col, least).unionByName(near.read()))
-    comps = components(edges.read()).withColumnsRenamed({"node": "__node", "component": "__root"})
-    held = nodes.read().select("node", "row")
-    first = held.join(comps, held["node"] == comps["__node"], "left").groupBy(F.coalesce("__root", "node").alias("root")).agg(F.min("row").alias("row")).select("row.*")
-    return first_rows(docs, Durable(first).read(), rows.read().select("doc_id", "h"), id_col, text_col)
+    with scratch() as kept:
+        rows = Durable(map_arrow(picked, _nodes, "doc_id long, h long, node long, fp long, bands array<long>"))
+        nodes = Durable(rows.read().groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+        near = Durable(simhash_links(nodes.read().select("node", "fp")))
+        edges = Durable(links(named, nodes.read().drop("fp", "row"), id_col, text_col, least).unionByName(near.read()))
+        comps = components(edges.read()).withColumnsRenamed({"node": "__node", "component": "__root"})
+        held = nodes.read().select("node", "row")
+        first = Durable(held.join(comps, held["node"] == comps["__node"], "left").groupBy(F.coalesce("__root", "node").alias("root")).agg(F.min("row").alias("row")).select("row.*"))
+        kept += [rows, first]
+    out = first_rows(docs, first.read(), rows.read().select("doc_id", "h"), id_col, text_col)
+    rows.drop()
+    first.drop()
+    return out
