@@ -61,6 +61,9 @@ CLEAN_WORDS, HARD_WORDS, TURNS = 3000, 1500, 4
 #: A stem is sure if at most this many clean documents hold it for one that is not, and
 #: FALSE_FINDS holds among the stems of any commonness together.
 SURE = 0.02
+#: Of so many clean documents of the sample one is kept back: words of these alone are not
+#: fitted on, so the border between documents is set by words that the machine has not met.
+KEPT_BACK = 4
 #: Chunk scores below this are read as this.
 FLOOR = -1.0
 #: Chunks longer than this are scored in windows of this length, half overlapping.
@@ -276,7 +279,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 class Model:
     landmarks: list[str]
     beta: np.ndarray  # two rows, for sure and weak chunks: one weight a landmark, the bias last
-    doc: np.ndarray  # logistic weights of (highest sentence margin, log count of toxic sentences); the border stays at score 0
+    doc: np.ndarray  # logistic weights of (highest sentence margin, log count of toxic sentences), then the bias
     weak: np.ndarray | None = None  # logistic weights of (log count of weak chunks, log count of all, 1)
 
     def start(self) -> Model:
@@ -320,7 +323,7 @@ class Model:
         if not len(self.landmarks):
             return np.zeros(len(texts))
         x = self.features(texts)
-        logit = x[:, :2] @ self.doc
+        logit = x[:, :2] @ self.doc[:2] + self.doc[2]
         if self.weak is not None:
             logit = np.maximum(logit, np.where(x[:, 2] > 0, x[:, 2:] @ self.weak[:2] + self.weak[2], -30))
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
@@ -396,7 +399,7 @@ def _filed(words: Iterable[str], found: dict, n1: int, n0: int) -> dict[str, str
 def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
     """Fits the machines on labelled documents."""
     y = np.array(toxic)
-    empty = Model([], np.zeros((2, 1)), np.zeros(2))
+    empty = Model([], np.zeros((2, 1)), np.zeros(3))
     if not (y == 1).any() or not (y == 0).any():
         return empty
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
@@ -404,8 +407,14 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
     # a stem that marks out the label only by the words of a likelier longer stem goes
     of = _filed(seen[0].keys() | seen[1].keys(), found, n1, n0)
     own: tuple[Counter, Counter] = (Counter(), Counter())
-    for t, label in zip(texts, toxic, strict=True):
-        own[label].update({of[n] for c in chunks_of(t) if (n := normal(c)) in of})
+    kept_back = np.flatnonzero(y == 0)[::KEPT_BACK]
+    back = {int(i): np.empty(0, np.int64) for i in kept_back}
+    for i, (t, label) in enumerate(zip(texts, toxic, strict=True)):
+        words = {normal(c) for c in chunks_of(t)}
+        own[label].update({of[n] for n in words if n in of})
+        if i in back:
+            back[i] = np.fromiter(map(hash, words), dtype=np.int64, count=len(words))
+    new = _only(seen[0], np.concatenate(list(back.values())))
     found = {s: v for s, v in found.items() if own[1][s] and _tail(own[1][s] + own[0][s], own[1][s], n1 / (n1 + n0)) < BY_CHANCE}
     kinds: tuple[dict[str, None], dict[str, None]] = ({}, {})  # words by kind of their stem: sure, weak
     for w, stem in sorted(_filed(seen[1], found, n1, n0).items()):
@@ -415,8 +424,8 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
     marked = kinds[0].keys() | kinds[1].keys()
     bags = [{n for c in chunks_of(s) if P <= len(n := normal(c)) <= WINDOW} for t, label in zip(texts, toxic, strict=True) if label == 1 for s in sentences_of(t)]
-    machines = [_machine(list(words), marked, bags, seen, found, rng) for words in kinds]
-    del seen, bags, of, own
+    machines = [_machine(list(words), marked, new, bags, seen, found, rng) for words in kinds]
+    del seen, bags, of, own, new
     strings = list(dict.fromkeys(s for marks, _ in machines for s in marks))
     beta = np.zeros((2, len(strings) + 1))
     at = {s: i for i, s in enumerate(strings)}
@@ -424,8 +433,10 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
         for s, v in zip(marks, b[:-1], strict=True):
             row[at[s]] += v
         row[-1] = b[-1]
-    x = Model(strings, beta, np.zeros(2)).start().features(texts)
+    x = Model(strings, beta, np.zeros(3)).start().features(texts)
     doc = np.maximum(fit_logistic(x[:, :2], y.astype(float)), [0.5, 0.0])
+    logit = x[:, :2] @ doc
+    doc = np.append(doc, -_border(logit[y == 1], logit[kept_back], n0 / len(kept_back)))
     weak = None
     rest = x[:, 1] == 0
     if kinds[1] and (y[rest] == 1).any():
@@ -434,16 +445,35 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 5) -> Model:
     return Model(strings, beta, doc, weak)
 
 
-def _machine(start: list[str], marked: set[str], bags: list[set[str]], seen: tuple[Counter, Counter], found: dict, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
+def _only(seen: Counter, held: np.ndarray) -> set[str]:
+    """The words all of whose documents are among those whose words' hashes are `held`."""
+    keys, counts = np.unique(held, return_counts=True)
+    hashes = np.fromiter(map(hash, seen), dtype=np.int64, count=len(seen))
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    same = (keys[at] == hashes) & (counts[at] == np.fromiter(seen.values(), dtype=np.int64, count=len(seen))) if len(keys) else hashes != hashes
+    return {w for w, s in zip(seen, same.tolist(), strict=True) if s}
+
+
+def _border(toxic: np.ndarray, clean: np.ndarray, weight: float) -> float:
+    """The border, 0 or more, of fewest errors, a clean one counting `weight`: midway between the values beside it."""
+    if not (clean > 0).any():
+        return 0.0
+    at = np.unique(np.maximum(0, np.concatenate([[0.0], toxic, clean])))
+    wrong = [(toxic <= b).sum() + weight * (clean > b).sum() for b in at]
+    k = int(np.argmin(wrong))
+    return float(at[k : k + 2].mean()) if k else 0.0
+
+
+def _machine(start: list[str], marked: set[str], new: set[str], bags: list[set[str]], seen: tuple[Counter, Counter], found: dict, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
     """Landmarks and weights of the machine that tells toxic chunks from clean ones.
 
-    start: the chunks held toxic at first; bags: the sentences of toxic documents."""
+    start: the chunks held toxic at first; new: those it is not to know; bags: the sentences of toxic documents."""
     if not start:
         return [], np.array([FLOOR])
     best = sorted({max((s for s in stems_of(w) if s in found), key=len) for w in start})
     clean_common = [w for w, _ in seen[0].most_common(CLEAN_LANDMARKS * 3 + len(marked)) if w not in marked][:CLEAN_LANDMARKS]
     letters = ALPHABET[:26] + "-.*"
-    clean = sorted(w for w in seen[0] if w not in marked and len(w) <= WINDOW)
+    clean = sorted(w for w in seen[0] if w not in marked and w not in new and len(w) <= WINDOW)
     picked = [clean[i] for i in rng.choice(len(clean), size=min(CLEAN_WORDS, len(clean)), replace=False)] if clean else []
     sentences = Counter(w for bag in bags for w in bag)
     # chunks of toxic documents' sentences alone, whose labels are found, and the sentences that hold a marked one

@@ -2,7 +2,9 @@
 
 import random
 import zlib
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from chromaflow.llm import toxicity
 
@@ -41,3 +43,21 @@ def test_recall_by_language():
     out = rows[held].assign(got=model.scores(list(rows[held]["text"])) >= 0.5)
     assert (out[out["toxic"] == 1].groupby("lang")["got"].mean() >= 0.7).all()
     assert out[out["toxic"] == 0]["got"].mean() <= 0.01
+
+
+def test_the_border_lies_above_clean_words_that_were_not_fitted_on(monkeypatch):
+    monkeypatch.setattr(toxicity, "_machine", lambda start, *_: (["zorgon"], np.array([4.0, -1.0])) if start else ([], np.array([toxicity.FLOOR])))
+    rng = random.Random(3)
+    rows = []
+    for i in range(160):
+        words = ["".join(rng.choice("abdefilmu") for _ in range(6)) for _ in range(20)]
+        rows.append((" ".join([*words, "zorgon" if i % 4 == 0 else "zorgax" if i % 16 == 1 else "apart"]), int(i % 4 == 0)))
+    model = toxicity.train([t for t, _ in rows], [y for _, y in rows]).start()
+    assert model.features(["zorgax"])[0, 0] > 0
+    assert (model.scores(["filmu zorgax", "filmu", None, "filmu zorgon"]) >= 0.5).tolist() == [False, False, False, True]
+
+
+def test_words_of_documents_kept_back_are_new():
+    seen = Counter({"a": 2, "b": 2, "c": 1, "d": 1})
+    held = np.array([hash(w) for w in ("a", "a", "b", "c", "zz")])
+    assert toxicity._only(seen, held) == {"a", "c"} and toxicity._only(seen, held[:0]) == set()
