@@ -167,7 +167,7 @@ class Landmarks:
 
     def __init__(self, strings: list[str]):
         self.strings = strings
-        self.table = np.zeros((_SIZE**P, len(strings)), dtype=np.float32)
+        cells: dict[tuple[int, int], float] = {}
         for k, s in enumerate(strings):
             vector = weights_of(s)
             norm = sum(v * v for v in vector.values()) ** 0.5 or 1.0
@@ -175,7 +175,14 @@ class Landmarks:
                 at = 0
                 for letter in u:
                     at = at * _SIZE + letter
-                self.table[at, k] += v / norm
+                cells[at, k] = v / norm
+        # only triples that a landmark has get a row; row 0 is that of the others
+        self.used = np.unique(np.array([at for at, _ in cells], dtype=np.int64))
+        self.row = np.zeros(_SIZE**P, dtype=np.int32)
+        self.row[self.used] = np.arange(1, len(self.used) + 1)
+        self.table = np.zeros((len(self.used) + 1, len(strings)), dtype=np.float32)
+        for (at, k), v in cells.items():
+            self.table[self.row[at], k] = v
         self.steps: dict[int, tuple] = {}
 
     def _triples(self, n: int) -> tuple:
@@ -202,12 +209,14 @@ class Landmarks:
             norm = _norms(key, w)
             step = max(1, 16_000 // len(w))
             for at in range(0, len(rows), step):
-                out[rows[at : at + step]] = np.matmul(w, self.table[key[at : at + step]]) / norm[at : at + step, None]
+                out[rows[at : at + step]] = np.matmul(w, self.table[self.row[key[at : at + step]]]) / norm[at : at + step, None]
         return out
 
     def fold(self, beta: np.ndarray) -> np.ndarray:
         """The landmarks' tables as one for each row of weights, its bias left out."""
-        return beta[:, :-1].astype(np.float32) @ self.table.T
+        out = np.zeros((len(beta), len(self.row)), dtype=np.float32)
+        out[:, self.used] = beta[:, :-1].astype(np.float32) @ self.table[1:].T
+        return out
 
     def decisions(self, strings: list[str], beta: np.ndarray, floor: float, folded: np.ndarray | None = None) -> np.ndarray:
         """max(floor, values @ beta[:-1] + beta[-1]), a column for each row of weights.  Norms are
@@ -490,7 +499,9 @@ def _machine(start: list[str], marked: set[str], new: set[str], bags: list[set[s
         marks = None  # its table is large
         marks, whiten = _nystrom(strings)
         words = [w[:WINDOW] for w in positive + gapped] + picked + hard
-        x = marks.values(words).astype(np.float64) @ whiten
+        x = np.empty((len(words), len(strings)))
+        for at in range(0, len(words), 2000):
+            x[at : at + 2000] = marks.values(words[at : at + 2000]).astype(np.float64) @ whiten
         sign = np.concatenate([np.ones(len(positive) + len(gapped)), -np.ones(len(picked) + len(hard))])
         cost = np.where(sign > 0, 1.0, 30.0)
         cost[: len(positive)] = [100.0 * (1 + log(max(1, sentences[w]))) for w in positive]

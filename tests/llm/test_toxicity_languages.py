@@ -61,3 +61,13 @@ def test_words_of_documents_kept_back_are_new():
     seen = Counter({"a": 2, "b": 2, "c": 1, "d": 1})
     held = np.array([hash(w) for w in ("a", "a", "b", "c", "zz")])
     assert toxicity._only(seen, held) == {"a", "c"} and toxicity._only(seen, held[:0]) == set()
+
+
+def test_landmarks_hold_only_triples_of_theirs():
+    strings = ["moron", "clown", "aaaa"]
+    marks = toxicity.Landmarks(strings)
+    assert marks.table.shape[0] <= 1 + sum(len(toxicity.weights_of(s)) for s in strings)
+    beta = np.array([[1.0, 2.0, -3.0, 0.25], [0.5, 0.0, 1.0, -0.5]])
+    words = ["moron", "m-o-r-o-n", "clowns", "zzz", "ab", "aaaaaa"]
+    want = np.maximum(-1, marks.values(words) @ beta[:, :-1].T + beta[:, -1])
+    assert np.allclose(marks.decisions(words, beta, -1.0), want, atol=1e-5)
